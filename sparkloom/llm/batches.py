@@ -61,3 +61,30 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED) ->
 def per_row(row: np.ndarray, n: int) -> np.ndarray:
     """First position of each row's run in a sorted row array, with the end appended."""
     return np.searchsorted(row, np.arange(n + 1))
+
+
+def with_text_columns(docs, text_col: str, schema: str, make, keep_text: bool = True):
+    """`docs` with columns computed from one text column, batch by batch.
+
+    make() gives, once per task, a function from an Arrow string column to a list of arrays for
+    `schema` (DDL).  Columns of docs with those names are replaced; all others pass through.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructField, StructType
+
+    added = StructType.fromDDL(schema)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added.names])
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row") if others else F.struct(F.lit(0).alias("_")).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    fields = [packed.schema["_row"]] + ([StructField("_text", packed.schema["_text"].dataType)] if keep_text else []) + added.fields
+
+    def go(batches):
+        f = make()
+        for batch in batches:
+            columns = [batch.column(0)] + ([batch.column(1)] if keep_text else [])
+            arrays = f(batch.column(1))
+            yield pa.record_batch(columns + arrays, names=[x.name for x in fields])
+
+    done = packed.mapInArrow(go, StructType(fields))
+    front = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != text_col or keep_text]
+    return done.select(*front, *added.names)
