@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe_automaton import encode_documents
+from sparkloom.llm.minmax_dedup import near_duplicates
 from sparkloom.llm.suffix_dedup import remove_repeats
 
 QUERIES: dict = {}
@@ -33,3 +34,8 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_text=False)
+
+
+@_query
+def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_uid")
