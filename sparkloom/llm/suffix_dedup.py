@@ -118,12 +118,13 @@ def _contexts(length: int):
     return go
 
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which windows data[s:s+length] occur at more than one of `starts`: radix passes of eight bytes,
-    most significant first; a window leaves with its group's last companion."""
+def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray | None = None) -> np.ndarray:
+    """Which windows data[s:s+length] occur at more than one of `starts` (of the same group): radix
+    passes of eight bytes, most significant first; a window leaves with its last companion."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     view = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    live, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    live = np.arange(len(starts))
+    group = np.zeros(len(starts), np.int64) if group is None else group
     for depth in range(0, length, 8):
         at = starts[live] + min(depth, max(0, length - 8))
         digit = np.ascontiguousarray(view[at]).view(">u8").ravel() if length >= 8 else None
@@ -169,13 +170,35 @@ def _span_batch(uid, s, e) -> pa.Table:
 
 
 def _refine(length: int):
-    def go(table: pa.Table) -> pa.Table:
+    """Rows sorted by gram; whole groups are compared together, about a slice of windows at a time."""
+
+    def solve(table: pa.Table) -> pa.Table:
         data, starts, row, at = _windows_of(table, length)
-        hit = repeated_starts(data, starts, length)
-        alone = table.column("alone").to_numpy()
-        hit &= alone[row]
+        gram = np.unique(table.column("gram").to_numpy(), return_inverse=True)[1]
+        hit = repeated_starts(data, starts, length, gram[row])
+        hit &= table.column("alone").to_numpy()[row]
         return _span_batch(*_stretches(table.column("_uid").to_numpy()[row[hit]], at[hit], length))
 
+    def go(batches):
+        held, n = [], 0
+        for batch in batches:
+            grams = batch.column("gram").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else grams
+            if held and len(grams) and held[-1].column("gram")[-1].as_py() != grams[0] and n >= 2048:
+                yield from solve(pa.Table.from_batches(held)).to_batches()
+                held, n = [], 0
+            done = 0
+            for cut in cuts[1:]:
+                if n + cut - done >= 2048:
+                    held.append(batch.slice(done, cut - done))
+                    yield from solve(pa.Table.from_batches(held)).to_batches()
+                    held, n, done = [], 0, int(cut)
+            if done < len(grams):
+                held.append(batch.slice(done))
+                n += len(grams) - done
+        if held:
+            yield from solve(pa.Table.from_batches(held)).to_batches()
+
     return go
 
 
@@ -237,7 +260,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, anchor: int = 64, group_c
         rows.join(lists.hint("merge"), "_uid").mapInArrow(_contexts(length), "gram long, size long, _uid long, a int, alone boolean, bytes binary"), "opened"
     )
     release(mixed)
-    small = opened.where(F.col("size") <= group_cap).groupBy("gram").applyInArrow(_refine(length), _SPAN)
+    small = opened.where(F.col("size") <= group_cap).repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine(length), _SPAN)
     windows = opened.where(F.col("size") > group_cap).mapInArrow(_window_keys(length), "w1 long, w2 long, _uid long, s int, alone boolean")
     twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "windows")
     large = windows.where("alone").join(twice.hint("merge"), ["w1", "w2"]).select("_uid", "s").mapInArrow(_join_windows(length), _SPAN)
