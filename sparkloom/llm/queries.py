@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe_automaton import encode_documents
+from sparkloom.llm.compression_quality import quality
+from sparkloom.llm.language_bloom import fit as fit_languages
+from sparkloom.llm.language_bloom import identify
 from sparkloom.llm.minmax_dedup import near_duplicates
 from sparkloom.llm.suffix_dedup import remove_repeats
 
@@ -39,3 +42,15 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_uid")
+
+
+@_query
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+@_query
+def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), fit_languages(docs), keep_text=False)
