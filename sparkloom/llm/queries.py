@@ -9,6 +9,7 @@ from sparkloom.llm.bpe_automaton import encode_documents
 from sparkloom.llm.compression_quality import quality
 from sparkloom.llm.language_bloom import fit as fit_languages
 from sparkloom.llm.language_bloom import identify
+from sparkloom.llm.license_scan import scan_licenses
 from sparkloom.llm.minmax_dedup import near_duplicates
 from sparkloom.llm.suffix_dedup import remove_repeats
 
@@ -54,3 +55,8 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return identify(docs.select("doc_id", "text", held_out.alias("held_out")), fit_languages(docs), keep_text=False)
+
+
+@_query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
