@@ -12,6 +12,8 @@ from sparkloom.llm.language_bloom import identify
 from sparkloom.llm.license_scan import scan_licenses
 from sparkloom.llm.minmax_dedup import near_duplicates
 from sparkloom.llm.suffix_dedup import remove_repeats
+from sparkloom.llm.url_trees import UrlModel, judge, labelled_sample
+from sparkloom.llm.warc_salvage import round_trip
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +62,15 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+@_query
+def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = round_trip(table(spark, sf_dir, "pages"))
+    return records.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, UrlModel(*labelled_sample(pages))).drop("url")
