@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe_automaton import encode_documents
 from sparkloom.llm.compression_quality import quality
+from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.language_bloom import fit as fit_languages
 from sparkloom.llm.language_bloom import identify
 from sparkloom.llm.license_scan import scan_licenses
@@ -74,3 +75,8 @@ def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages, UrlModel(*labelled_sample(pages))).drop("url")
+
+
+@_query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
