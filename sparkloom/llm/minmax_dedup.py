@@ -179,7 +179,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 85, rows: int = 4, miss: float = 1e-9, block: int = 256
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 85, rows: int = 4, miss: float = 1e-9, block: int = 1024
 ) -> DataFrame:
     """(_uid, id, n_shingles, component_id, kept) for every row of docs.
 
