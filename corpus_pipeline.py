@@ -3,15 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-#: No SQL can express the automaton or the sketches; tests hold the stages against brute force.
+from sparkloom.llm.bpe_automaton import encode_documents
+from sparkloom.llm.decontaminate import clean_documents
+from sparkloom.llm.language_bloom import UND, identify
+from sparkloom.llm.language_bloom import fit as fit_languages
+from sparkloom.llm.minmax_dedup import keep_one
+from sparkloom.llm.suffix_dedup import remove_repeats
+
+#: Documents whose best language holds less than this share of their n-grams are rejected.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; null, letterless and foreign texts go."""
+    names = docs.columns
+    packed = docs.select(F.struct(*names).alias("row"), "text")
+    found = identify(packed, fit_languages(docs), keep_text=False)
+    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)).select(*[F.col(f"row.{c}").alias(c) for c in names])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of each group of near-duplicates."""
+    return keep_one(docs, words=5, percent=80)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of repeated 200-byte strings; documents with nothing left go."""
+    names = docs.columns
+    rest = remove_repeats(docs, whole_characters=True).where("text is null or n_removed = 0 or length(trim(text)) > 0")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return rest.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*names)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the digests of ids and decoded text."""
+    import public_tokenizers
+
+    return encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), keep_text=False, keep_ids=True)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("exact_dedup", exact_dedup), ("decontaminate", decontaminate), ("bpe", bpe)]
+#: No SQL can express the filters, the sketches and the automaton; a brute-force run stands in tests.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in memory of one plan each; the driver and the check tool write between them."""
+    """All stages over documents, each written to the shared folder and read again by the next."""
+    from sparkloom.llm.store import materialize
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

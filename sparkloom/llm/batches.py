@@ -63,11 +63,12 @@ def per_row(row: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(row, np.arange(n + 1))
 
 
-def with_text_columns(docs, text_col: str, schema: str, make, keep_text: bool = True):
+def with_text_columns(docs, text_col: str, schema: str, make, keep_text: bool = True, extra=None):
     """`docs` with columns computed from one text column, batch by batch.
 
     make() gives, once per task, a function from an Arrow string column to a list of arrays for
-    `schema` (DDL).  Columns of docs with those names are replaced; all others pass through.
+    `schema` (DDL).  Columns of docs with those names are replaced; all others pass through.  With a
+    column `extra` the function gets its array as a second argument.
     """
     from pyspark.sql import functions as F
     from pyspark.sql.types import StructField, StructType
@@ -75,14 +76,16 @@ def with_text_columns(docs, text_col: str, schema: str, make, keep_text: bool =
     added = StructType.fromDDL(schema)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added.names])
     others = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row") if others else F.struct(F.lit(0).alias("_")).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row") if others else F.struct(F.lit(0).alias("_")).alias("_row"), F.col(f"`{text_col}`").alias("_text"), *([] if extra is None else [extra.alias("_extra")]))
     fields = [packed.schema["_row"]] + ([StructField("_text", packed.schema["_text"].dataType)] if keep_text else []) + added.fields
 
+    extra = None if extra is None else True  # a Column cannot travel to the executors
+
     def go(batches):
         f = make()
         for batch in batches:
             columns = [batch.column(0)] + ([batch.column(1)] if keep_text else [])
-            arrays = f(batch.column(1))
+            arrays = f(batch.column(1)) if extra is None else f(batch.column(1), batch.column(2))
             yield pa.record_batch(columns + arrays, names=[x.name for x in fields])
 
     done = packed.mapInArrow(go, StructType(fields))

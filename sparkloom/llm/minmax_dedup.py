@@ -240,7 +240,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{options.get('text_col', 'text')}`").alias("text"))
     ids, written = row_ids(packed, "_id", ["_id", "text", "_row"])
-    found = near_duplicates(ids.select("_uid", "text"), id_col="_uid", **{**options, "text_col": "text"})
+    found = near_duplicates(ids.select(F.col("_uid").alias("_key"), "text"), id_col="_key", **{**options, "text_col": "text"}).drop("_key")
     if written:  # by id first, then by row
         tagged = ids.select("_uid", "_id").join(found.select(F.col("_uid"), "component_id", "n_shingles"), "_uid")
         first = tagged.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("late"), "_id", "_uid"))["_uid"].alias("_uid"))
