@@ -1,0 +1,311 @@
+"""Registered queries over documents, pages and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.functions import text as T
+from sparkloom.operators import chunks, lines, retrieval
+from sparkloom.plans.registry import query
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def numbered_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars_text, n_lines, pos, line of every document."""
+    base = docs.select("doc_id", F.length("text").alias("chars"), lines.line_array(F.col("text")).alias("a"))
+    return base.select("doc_id", "chars", F.size("a").alias("n_lines"), F.posexplode("a").alias("pos", "line"))
+
+
+#: Lines of each document in DuckDB, with their positions.
+LINES = """
+arrays AS (SELECT doc_id, text, length(text) AS chars,
+    CASE WHEN text = '' THEN []::VARCHAR[] WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS a FROM documents),
+lines AS (SELECT doc_id, chars, len(a) AS n_lines, unnest(range(len(a))) AS pos, unnest(a) AS line FROM arrays)
+"""
+
+
+@query(
+    "dup_runs_collapsed",
+    f"""WITH {LINES},
+marks AS (SELECT *, CASE WHEN lag(line) OVER w = line THEN 0 ELSE 1 END AS head FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+islands AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marks),
+runs AS (SELECT doc_id, run, any_value(line) AS line, count(*) AS n FROM islands GROUP BY 1, 2),
+gated AS (SELECT *, n >= 3 AND length(trim(line)) >= 8 AND (length(line) + 1) * (n - 1) >= 6 + length(n::VARCHAR) + 16 AS pays FROM runs),
+done AS (SELECT doc_id, count(*) FILTER (WHERE pays)::BIGINT AS runs,
+    string_agg(CASE WHEN pays THEN line || '  [× ' || n || ']' ELSE array_to_string(list_transform(range(n), lambda i: line), chr(10)) END, chr(10) ORDER BY run) AS body FROM gated GROUP BY 1)
+SELECT a.doc_id, coalesce(runs, 0) AS runs, sha256(coalesce(body, '') || CASE WHEN ends_with(a.text, chr(10)) THEN chr(10) ELSE '' END) AS text_sha256,
+    (length(a.text) - length(coalesce(body, '') || CASE WHEN ends_with(a.text, chr(10)) THEN chr(10) ELSE '' END))::BIGINT AS saved
+FROM arrays a LEFT JOIN done USING (doc_id)""",
+)
+def dup_runs_collapsed(spark, sf_dir):
+    done = table(spark, sf_dir, "documents").select("doc_id", "text", lines.collapse_dups(F.col("text")).alias("r"))
+    return done.select("doc_id", "r.runs", F.sha2("r.text", 256).alias("text_sha256"), (F.length("text") - F.length("r.text")).cast("long").alias("saved"))
+
+
+@query("dup_runs_round_trip")
+def dup_runs_round_trip(spark, sf_dir):
+    """Documents that collapse_dups changed, and whether the inverse gives them back."""
+    done = table(spark, sf_dir, "documents").select("doc_id", "text", lines.collapse_dups(F.col("text")).alias("r")).where("r.runs > 0")
+    return done.select("doc_id", (lines.expand_dups(F.col("r.text")) == F.col("text")).alias("exact"))
+
+
+@query(
+    "line_repeat_index",
+    f"""WITH {LINES} SELECT doc_id, pos::INTEGER AS pos,
+    (row_number() OVER (PARTITION BY doc_id, regexp_replace(trim(line), '\\d+', '0', 'g') ORDER BY pos) - 1)::BIGINT AS occ FROM lines""",
+)
+def line_repeat_index(spark, sf_dir):
+    return lines.repeat_index(numbered_lines(table(spark, sf_dir, "documents")), ["doc_id"]).select("doc_id", "pos", "occ")
+
+
+@query("line_heuristic_scores")
+def line_heuristic_scores(spark, sf_dir):
+    return lines.heuristic_scores(numbered_lines(table(spark, sf_dir, "documents")), ["doc_id"]).select("doc_id", "pos", "score")
+
+
+@query(
+    "headtail_keep",
+    f"""WITH {LINES},
+visits AS (SELECT *, least(pos // 2 * 3 + pos % 2, (n_lines - 1 - pos) * 3 + 2) AS visit FROM lines),
+sums AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM visits)
+SELECT doc_id, count(*) FILTER (WHERE before < 0.5 * chars)::BIGINT AS kept, coalesce(sum(length(line)) FILTER (WHERE before < 0.5 * chars), 0)::BIGINT AS kept_chars FROM sums GROUP BY 1""",
+)
+def headtail_keep(spark, sf_dir):
+    kept = lines.headtail(numbered_lines(table(spark, sf_dir, "documents")), ["doc_id"], 0.5, "chars")
+    size = lambda c: F.sum(F.when(F.col("keep"), c).otherwise(0)).cast("long")
+    return kept.groupBy("doc_id").agg(size(F.lit(1)).alias("kept"), size(F.length("line")).alias("kept_chars"))
+
+
+@query("greedy_line_budget")
+def greedy_line_budget(spark, sf_dir):
+    """Half of each document's characters by line score; documents rendered with gap markers."""
+    scored = lines.heuristic_scores(numbered_lines(table(spark, sf_dir, "documents")), ["doc_id"])
+    return lines.render_kept(lines.greedy_select(scored, ["doc_id"], 0.5, "chars"), ["doc_id"])
+
+
+@query("error_line_context")
+def error_line_context(spark, sf_dir):
+    return lines.error_lines(numbered_lines(table(spark, sf_dir, "documents")), ["doc_id"]).where("keep").select("doc_id", "pos")
+
+
+@query(
+    "line_smooth_scores",
+    f"""WITH {LINES}, s AS (SELECT doc_id, pos, length(line)::DOUBLE AS score FROM lines)
+SELECT doc_id, pos::INTEGER AS pos, round(greatest(score, 0.55 * coalesce(lag(score, 1) OVER w, 0), 0.55 * coalesce(lead(score, 1) OVER w, 0), 0.25 * coalesce(lag(score, 2) OVER w, 0), 0.25 * coalesce(lead(score, 2) OVER w, 0)), 6) AS smooth
+FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
+)
+def line_smooth_scores(spark, sf_dir):
+    scored = numbered_lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", F.length("line").cast("double").alias("score"))
+    return lines.neighbour_smooth(scored, ["doc_id"]).select("doc_id", "pos", F.round("smooth", 6).alias("smooth"))
+
+
+@query(
+    "line_templates",
+    f"""WITH {LINES} SELECT doc_id, regexp_replace(line, '[^ \\t\\n\\x0b\\f\\r]*\\d[^ \\t\\n\\x0b\\f\\r]*', '<*>', 'g') AS template, count(*)::BIGINT AS n, min(pos)::BIGINT AS first_pos, max(pos)::BIGINT AS last_pos
+FROM lines WHERE trim(line) <> '' GROUP BY 1, 2""",
+)
+def line_templates(spark, sf_dir):
+    return lines.template_counts(numbered_lines(table(spark, sf_dir, "documents")), ["doc_id"])
+
+
+@query(
+    "line_search_context",
+    f"""WITH {LINES}, hits AS (SELECT doc_id, pos FROM lines WHERE regexp_matches(line, '(?i)licen[sc]e')),
+near AS (SELECT DISTINCT l.doc_id, l.pos, regexp_matches(l.line, '(?i)licen[sc]e') AS hit FROM lines l JOIN hits h ON l.doc_id = h.doc_id AND l.pos BETWEEN h.pos - 3 AND h.pos + 3),
+blocks AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 1 THEN 0 ELSE 1 END AS new FROM near)
+SELECT doc_id, pos::INTEGER AS pos, hit, sum(new) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS block FROM blocks""",
+)
+def line_search_context(spark, sf_dir):
+    """Lines that name a licence, three lines around each, merged into blocks.  Documents without the
+    word are filtered at the scan, before their lines are exploded."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("(?i)licen[sc]e"))
+    return retrieval.search_lines(numbered_lines(docs), ["doc_id"], "(?i)licen[sc]e").select("doc_id", "pos", "hit", "block")
+
+
+@query(
+    "tracking_params",
+    """WITH parts AS (SELECT page_id, url, strpos(url, '?') AS cut, regexp_extract(url, '^[^?]*\\?([^#]*)', 1) AS q, regexp_extract(url, '^[^?]*\\?[^#]*(#.*)?$', 1) AS rest FROM pages),
+kept AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda p: lower(split_part(p, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref_src', 'igshid')), '&') AS k FROM parts)
+SELECT page_id, CASE WHEN cut = 0 OR q = '' THEN url ELSE substr(url, 1, cut - 1) || CASE WHEN k = '' THEN '' ELSE '?' || k END || coalesce(rest, '') END AS clean FROM kept""",
+)
+def tracking_params(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_url("url").alias("clean"))
+
+
+@query(
+    "sanitize_counts",
+    """SELECT page_id, len(regexp_extract_all(html, '[\\x{E0000}-\\x{E007F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]'))::BIGINT AS invisible_controls, len(regexp_extract_all(html, '(?s)<!--.*?-->'))::BIGINT AS html_comments,
+    sha256(regexp_replace(regexp_replace(html, '[\\x{E0000}-\\x{E007F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]', '', 'g'), '(?s)<!--.*?-->', '', 'g')) AS text_sha256 FROM pages""",
+)
+def sanitize_counts(spark, sf_dir):
+    done = table(spark, sf_dir, "pages").select("page_id", T.sanitize("html").alias("s"))
+    return done.select("page_id", "s.invisible_controls", "s.html_comments", F.sha2("s.text", 256).alias("text_sha256"))
+
+
+@query(
+    "clean_web_pages",
+    """WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+ '(?is)<script[^>]+id=["''](?:__NEXT_DATA__|__NUXT_DATA__)["''][^>]*>.*?</script>', '', 'g'),
+ '(?is)<script[^>]*>\\s*window\\.__(?:NUXT|NEXT_DATA|INITIAL_STATE)__=.*?</script>', '', 'g'),
+ '(?s)<!--.*?-->', '', 'g'), '[\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{feff}]', '', 'g') AS t FROM pages)
+SELECT page_id, length(html)::BIGINT - length(t)::BIGINT AS removed FROM s JOIN pages USING (page_id)""",
+)
+def clean_web_pages(spark, sf_dir):
+    out = F.col("html")
+    for pattern in (T.NEXT_DATA, T.NUXT_INLINE, T.COMMENTS, T.ZERO_WIDTH):
+        out = F.regexp_replace(out, pattern, "")
+    return table(spark, sf_dir, "pages").select("page_id", (F.length("html") - F.length(out)).cast("long").alias("removed"))
+
+
+@query("clean_web_text")
+def clean_web_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_web("html").alias("text"))
+
+
+@query("redacted_documents")
+def redacted_documents(spark, sf_dir):
+    done = table(spark, sf_dir, "documents").select("doc_id", T.redact("text").alias("text"))
+    return done.select("doc_id", F.regexp_count("text", F.lit(r"\[REDACTED:")).cast("long").alias("labels"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("token_estimates")
+def token_estimates(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", T.approx_tokens("text").alias("approx"), T.est_tokens("text").alias("est"), T.chars_per_token("text").alias("by_chars"), T.utf16_length("text").alias("utf16"), T.longest_line("text").cast("long").alias("longest")
+    )
+
+
+@query(
+    "group_splits",
+    """WITH g AS (SELECT DISTINCT source FROM documents),
+v AS (SELECT source, list_reduce(list_prepend(0, list_transform(string_split(sha1(source), ''), lambda d: strpos('0123456789abcdef', d) - 1)), lambda a, d: (a * 16 + d) % 100) AS v FROM g)
+SELECT source, CASE WHEN v < 2 THEN 'test' WHEN v < 4 THEN 'val' ELSE 'train' END AS split FROM v""",
+)
+def group_splits(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("source").distinct().select("source", T.split_of("source").alias("split"))
+
+
+@query("protected_atoms")
+def protected_atoms(spark, sf_dir):
+    """Share of atoms to keep letter for letter, by language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.regexp_extract_all("text", F.lit(r"(?U)\S+"), 0).alias("a"))
+    return docs.groupBy("lang").agg(F.sum(F.size("a")).cast("long").alias("atoms"), F.sum(F.size(F.filter("a", T.is_protected))).cast("long").alias("protected"))
+
+
+@query("protected_survival")
+def protected_survival(spark, sf_dir):
+    """Protected atoms that a half-budget selection of lines keeps, per document."""
+    docs = table(spark, sf_dir, "documents")
+    kept = greedy_line_budget(spark, sf_dir).select("doc_id", F.col("text").alias("after"))
+    found = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"(?U)\S+"), 0), T.is_protected))
+    both = docs.join(kept, "doc_id").select("doc_id", found(F.col("text")).alias("want"), found(F.col("after")).alias("have"))
+    return both.select("doc_id", F.size("want").cast("long").alias("want"), F.size(F.array_except("want", "have")).cast("long").alias("lost"))
+
+
+@query(
+    "chunk_exact_dedup",
+    """WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS k FROM documents)
+SELECT doc_id, CASE WHEN k = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY k) END AS first, CASE WHEN k = '' THEN false ELSE doc_id <> min(doc_id) OVER (PARTITION BY k) END AS duplicate FROM n""",
+)
+def chunk_exact_dedup(spark, sf_dir):
+    return chunks.exact_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "first", "duplicate")
+
+
+@query(
+    "conversation_same_as",
+    """SELECT conv_id, turn, CASE WHEN turn - p <= 100 THEN p END AS same_as FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id, text ORDER BY turn) AS p FROM conversations)""",
+)
+def conversation_same_as(spark, sf_dir):
+    return chunks.earlier_equal(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "same_as")
+
+
+@query(
+    "conversation_first_render",
+    """SELECT md5(text) AS key, min_by(role, conv_id * 100000 + turn) AS role, min(conv_id * 100000 + turn) AS first_seq, count(*)::BIGINT AS writes FROM conversations GROUP BY 1""",
+)
+def conversation_first_render(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.md5("text").alias("key"), "role", (F.col("conv_id") * 100000 + F.col("turn")).alias("seq"))
+    return chunks.first_rendering(rows, "key", "seq", "role")
+
+
+@query(
+    "bm25_top_documents",
+    """WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_./:-]{2,}')) AS term FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9_./:-]{2,}') AS w FROM documents),
+z AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+t AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))), 4) AS score FROM tf JOIN df USING (term) JOIN q USING (term), z GROUP BY 1, 2)
+SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 5""",
+)
+def bm25_top_documents(spark, sf_dir):
+    scores = retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id").withColumn("score", F.round("score", 4))
+    return retrieval.top_k(scores, "item_id", 5, [F.desc("score"), F.col("doc_id")])
+
+
+@query(
+    "document_postings",
+    """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9_./:-]{2,}') AS w FROM documents), t AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d)
+SELECT doc_id, term, count(*)::BIGINT AS tf, any_value(length)::BIGINT AS length FROM t GROUP BY 1, 2""",
+)
+def document_postings(spark, sf_dir):
+    """The inverted index: counted by a map-side aggregation over (document, term)."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(retrieval.WORD), 0)
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    terms = rows.select("doc_id", F.size("w").cast("long").alias("length"), F.explode("w").alias("term"))
+    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+
+@query(
+    "benchmark_passages",
+    "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+)
+def benchmark_passages(spark, sf_dir):
+    return retrieval.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+def _round_sql(k: int, rounds: int = 4) -> str:
+    return f"""
+p{k} AS (SELECT *, CASE WHEN o THEN w * l ELSE 0 END AS part FROM r{k - 1}),
+q{k} AS (SELECT *, sum(part) OVER g AS al FROM p{k} WINDOW g AS (PARTITION BY source)),
+u{k} AS (SELECT *, CASE WHEN al > 0 THEN greatest(rem, 0) * part / al ELSE 0 END AS want FROM q{k}),
+v{k} AS (SELECT *, CASE WHEN o THEN CASE WHEN a + want >= l THEN l - a ELSE want END ELSE 0 END AS ad FROM u{k}),
+r{k} AS (SELECT doc_id, source, l, w, a + ad AS a, rem - sum(ad) OVER (PARTITION BY source) AS rem, o AND NOT a + want >= l AS o FROM v{k})"""
+
+
+@query(
+    "shared_budget",
+    f"""WITH b AS (SELECT doc_id, source, length(text)::DOUBLE AS l, (doc_id % 17)::DOUBLE AS s FROM documents),
+r0 AS (SELECT doc_id, source, l, 0.35 + 1.15 * (s - min(s) OVER g) / greatest(1e-6, max(s) OVER g - min(s) OVER g) AS w, 0.0::DOUBLE AS a, 0.5 * sum(l) OVER g AS rem, l > 0 AS o FROM b WINDOW g AS (PARTITION BY source)),
+{",".join(_round_sql(k) for k in range(1, 5))}
+SELECT doc_id, source, round(CASE WHEN l > 0 THEN least(1.0, greatest(0.05, a / l)) ELSE 0 END, 6) AS rate FROM r4""",
+)
+def shared_budget(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("double").alias("length"), (F.col("doc_id") % 17).cast("double").alias("score"))
+    return retrieval.allocate(docs, "source", "length", "score", 0.5).select("doc_id", "source", F.round("rate", 6).alias("rate"))
+
+
+@query(
+    "label_survival",
+    f"""WITH {LINES}, k AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS d FROM lines GROUP BY 1)
+SELECT quality, toxic, count(*)::BIGINT AS docs, sum(n)::BIGINT AS lines, sum(d)::BIGINT AS distinct_lines FROM k JOIN labels USING (doc_id) GROUP BY 1, 2""",
+)
+def label_survival(spark, sf_dir):
+    sizes = table(spark, sf_dir, "documents").select("doc_id", lines.line_array(F.col("text")).alias("a")).where(F.size("a") > 0)
+    sizes = sizes.select("doc_id", F.size("a").alias("n"), F.size(F.array_distinct("a")).alias("d"))
+    return sizes.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("lines"), F.sum("d").cast("long").alias("distinct_lines"))
+
+
+@query(
+    "unseen_turns",
+    "SELECT c.conv_id, c.turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations r WHERE r.conv_id < 20 AND r.text = c.text) OR c.text IS NULL",
+)
+def unseen_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    seen = turns.where("conv_id < 20").select(F.sha2("text", 256).alias("digest"))
+    return chunks.unseen(turns, seen).select("conv_id", "turn")
