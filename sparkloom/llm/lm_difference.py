@@ -112,7 +112,7 @@ def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: s
                 yield pa.record_batch([pa.array(np.full(len(at), 2 * f + kind, np.int32)), pa.array(at.astype(np.int32)), *(pa.array(table[f, k, at].astype(np.int64)) for k in range(2))], names=["kind", "cell", "t", "b"])
 
     marks = good.select(F.col(f"`{id_col}`").alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(marks, "_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"), fold_of("_id").alias("fold"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(marks.hint("merge"), "_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"), fold_of("_id").alias("fold"))
     table = rows.mapInArrow(go, "kind int, cell int, t long, b long").groupBy("kind", "cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
     kind, at = table.column("kind").to_numpy(), table.column("cell").to_numpy()
     out = []
