@@ -303,9 +303,10 @@ def label_survival(spark, sf_dir):
 
 @query(
     "unseen_turns",
-    "SELECT c.conv_id, c.turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations r WHERE r.conv_id < 20 AND r.text = c.text) OR c.text IS NULL",
+    "SELECT c.conv_id, c.turn FROM conversations c WHERE c.role <> 'user' AND NOT EXISTS (SELECT 1 FROM conversations r WHERE r.role = 'user' AND r.text = c.text)",
 )
 def unseen_turns(spark, sf_dir):
+    """Turns of other roles whose text no user turn has (the registry of seen texts)."""
     turns = table(spark, sf_dir, "conversations")
-    seen = turns.where("conv_id < 20").select(F.sha2("text", 256).alias("digest"))
-    return chunks.unseen(turns, seen).select("conv_id", "turn")
+    seen = turns.where("role = 'user'").select(F.sha2("text", 256).alias("digest"))
+    return chunks.unseen(turns.where("role <> 'user'"), seen).select("conv_id", "turn")

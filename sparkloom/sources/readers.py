@@ -98,7 +98,7 @@ def request_calls(bodies: DataFrame, key: str, body: str = "body") -> DataFrame:
 def largest_text_block(response: Column) -> Column:
     """The longest text of a tool response: a string, a list of blocks, or blocks under `content`."""
     blocks = "array<struct<type:string,text:string>>"
-    listed = F.coalesce(F.from_json(response, blocks), F.from_json(response, f"content {blocks}")["content"])
+    listed = F.when(response.rlike(r"^\s*\{"), F.from_json(response, f"content {blocks}")["content"]).otherwise(F.from_json(response, blocks))
     texts = F.transform(F.filter(listed, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: F.struct(F.length(b["text"]).alias("n"), b["text"].alias("text")))
     return F.coalesce(F.array_max(texts)["text"], F.when(~response.rlike(r"^\s*[\[{]"), response))
 
