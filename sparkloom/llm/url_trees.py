@@ -87,6 +87,12 @@ def features(url: str | None, host: str, path: str, rates: SuffixRates) -> list[
     ]
 
 
+def matrix(urls: list[str | None], parts: list[tuple[str, str]], rates: SuffixRates) -> np.ndarray:
+    """(urls, features), also for no urls."""
+    rows = [features(u, h, p, rates) for u, (h, p) in zip(urls, parts, strict=True)]
+    return np.array(rows, float) if rows else np.zeros((0, len(features("", "", "", rates))))
+
+
 class Trees:
     """Boosted regression trees for the logistic loss, on histograms of each feature."""
 
@@ -159,12 +165,10 @@ class UrlModel:
         y = np.array(labels, float)
         parts = [split_url(u) for u in urls]
         self.rates = SuffixRates([h for h, _ in parts], y)
-        x = np.array([features(u, h, p, self.rates) for u, (h, p) in zip(urls, parts, strict=True)]).reshape(len(urls), -1)
-        self.trees = Trees().fit(x, y)
+        self.trees = Trees().fit(matrix(urls, parts, self.rates), y)
 
     def block(self, urls: list[str | None], parts: list[tuple[str, str]]) -> np.ndarray:
-        x = np.array([features(u, h, p, self.rates) for u, (h, p) in zip(urls, parts, strict=True)], float).reshape(len(urls), -1)
-        return self.trees.predict(x)
+        return self.trees.predict(matrix(urls, parts, self.rates))
 
 
 def labelled_sample(pages: DataFrame, url_col: str = "url", rules=RULES, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
