@@ -73,6 +73,9 @@ def with_text_columns(docs, text_col: str, schema: str, make, keep_text: bool =
     from pyspark.sql import functions as F
     from pyspark.sql.types import StructField, StructType
 
+    from sparkloom.llm.store import bounded_batches
+
+    bounded_batches(docs.sparkSession)
     added = StructType.fromDDL(schema)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added.names])
     others = [c for c in docs.columns if c != text_col]

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.batches import ALNUM, slices, words
 from sparkloom.llm.hashing import U64, PrefixHash
 from sparkloom.llm.shingles import combine
+from sparkloom.llm.store import bounded_batches
 
 K1, B = 1.2, 0.75
 #: Least normalised BM25 score, least overlap of shingles and of question and answer words.
@@ -199,6 +200,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     repeat give rows that repeat; items that repeat are found each.  Items are taken ITEMS at a time,
     so an index is bounded; the texts are read once for each such part, never shuffled.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"))
     wanted = items.select(F.col(f"`{item_id_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null and text rlike '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]'")

@@ -14,8 +14,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.batches import flat, with_text_columns
+from sparkloom.llm.batches import SLICE, flat, slices, with_text_columns
 from sparkloom.llm.hashing import U64, mix
+from sparkloom.llm.store import bounded_batches
 
 #: Cells of a filter (a power of two), probes per n-gram, bytes of an n-gram.
 CELLS, HASHES, GRAM = 1 << 20, 3, 4
@@ -98,6 +99,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
         return LanguageFilter([], [])
+    bounded_batches(docs.sparkSession)
     rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
     chosen = known.where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1e6) < rate[F.col("lang")]).select("lang", "text")
 
@@ -105,13 +107,16 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         for batch in batches:
             langs = batch.column(0).to_pylist()
             data, offsets = flat(batch.column(1))
+            sizes = np.diff(offsets)
             for lang in sorted(set(langs)):
                 rows = [k for k, x in enumerate(langs) if x == lang]
-                for i in range(0, len(rows), 64):
-                    parts = [data[offsets[k] : offsets[k + 1]] for k in rows[i : i + 64]]
+                while rows:
+                    n = max(1, int(np.searchsorted(np.cumsum(sizes[rows]), SLICE)))
+                    parts = [data[offsets[k] : offsets[k + 1]] for k in rows[:n]]
+                    rows = rows[n:]
                     g, _ = grams(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
-                    values, n = np.unique(g, return_counts=True)
-                    yield pa.record_batch([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                    values, times = np.unique(g, return_counts=True)
+                    yield pa.record_batch([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(times)], names=["lang", "gram", "n"])
 
     seen = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "gram")
     table = seen.toArrow()
@@ -134,8 +139,6 @@ def identify(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text",
         model = shared.value
 
         def go(column: pa.Array) -> list[pa.Array]:
-            from sparkloom.llm.batches import slices
-
             langs, scores = [], []
             for i, j, data, offsets in slices(column):
                 g, row = grams(data, offsets)

@@ -17,6 +17,22 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/sparkloom"
 
 
+#: Bytes of an Arrow batch on its way to or from Python: a worker holds a few of them at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches to BATCH_BYTES, if it is higher.
+
+    Batches are cut by rows and bytes; at the default of 64 MB a task's copies on both sides of the
+    socket would take most of a small executor.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key).removesuffix("b")  # a value with a unit was set by someone and stays
+    if have.isdigit() and int(have) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -24,6 +40,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: short lineage, exact sizes for AQE."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
