@@ -43,6 +43,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often body uses it (also inside lambdas)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fixpoint(c: Column, pattern: str, passes: int = 4) -> Column:
     """Remove a pattern up to `passes` times: removing one sequence can expose another."""
     for _ in range(passes):
@@ -83,8 +88,7 @@ def collapse_cr(c) -> Column:
         redraw = core.rlike(ERASE_LINE) | core.rlike(PROGRESS) | (F.size(F.array_distinct(heads)) <= 1)
         return F.when(core.contains("\r") & redraw, F.concat(overlay_redraws(core), tail)).otherwise(line)
 
-    text = _col(c)
-    return F.when(text.contains("\r"), F.array_join(F.transform(F.split(text, "\n", -1), one), "\n")).otherwise(text)
+    return let(_col(c), lambda text: F.when(text.contains("\r"), F.array_join(F.transform(F.split(text, "\n", -1), one), "\n")).otherwise(text))
 
 
 def sanitize(c) -> Column:
@@ -124,10 +128,15 @@ def clean_web(c) -> Column:
     out = _col(c)
     for pattern in (NEXT_DATA, NUXT_INLINE, COMMENTS, ZERO_WIDTH):
         out = F.regexp_replace(out, pattern, "")
-    urls = F.array_sort(F.array_distinct(F.regexp_extract_all(out, F.lit(TRACKED_URL), 1)), lambda a, b: F.length(b) - F.length(a))
-    out = F.aggregate(urls, out, lambda text, u: F.replace(text, u, clean_url(u)))
-    out = F.when(out.contains("|"), F.array_join(F.transform(F.split(out, "\n", -1), _clean_row), "\n")).otherwise(out)
-    return F.regexp_replace(out, "\n{3,}", "\n\n")
+
+    def without_tracking(text):
+        urls = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(TRACKED_URL), 1)), lambda a, b: F.length(b) - F.length(a))
+        return F.aggregate(urls, text, lambda t, u: F.replace(t, u, clean_url(u)))
+
+    def without_padding(text):
+        return F.when(text.contains("|"), F.array_join(F.transform(F.split(text, "\n", -1), lambda x: let(x, _clean_row)), "\n")).otherwise(text)
+
+    return F.regexp_replace(let(let(out, without_tracking), without_padding), "\n{3,}", "\n\n")
 
 
 def redact(c) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import ERROR_LINE
+from sparkloom.functions.text import ERROR_LINE, let
 
 TAG = r"  \[× \d+\]\r?$"
 #: Gap marker: how many lines are left out.
@@ -31,9 +31,13 @@ def explode_lines(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
 
 def run_array(lines: Column) -> Column:
     """array<struct<line, n>>: maximal runs of equal lines, in order."""
-    indexed = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-    heads = F.filter(indexed, lambda r: (r["i"] == 0) | (F.get(lines, r["i"] - 1) != r["line"]))
-    return F.transform(heads, lambda r, k: F.struct(r["line"].alias("line"), (F.coalesce(F.get(heads, k + 1)["i"], F.size(lines)) - r["i"]).alias("n")))
+
+    def runs(a):
+        indexed = F.transform(a, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+        heads = F.filter(indexed, lambda r: (r["i"] == 0) | (F.get(a, r["i"] - 1) != r["line"]))
+        return let(heads, lambda h: F.transform(h, lambda r, k: F.struct(r["line"].alias("line"), (F.coalesce(F.get(h, k + 1)["i"], F.size(a)) - r["i"]).alias("n"))))
+
+    return let(lines, runs)
 
 
 def _tagged(line: Column, n: Column) -> Column:
@@ -51,15 +55,19 @@ def run_pays(line: Column, n: Column) -> Column:
 def collapse_dups(c: Column) -> Column:
     """struct(text, runs): runs of equal lines as one line with a count; a text that already holds such
     counts stays as it is."""
-    lines = line_array(c)
-    runs = run_array(lines)
-    tagged = F.exists(lines, lambda x: x.rlike(TAG))
-    done = F.transform(runs, lambda r: F.when(run_pays(r["line"], r["n"]), F.array(_tagged(r["line"], r["n"]))).otherwise(F.array_repeat(r["line"], r["n"])))
-    end = F.when(c.endswith("\n"), F.lit("\n")).otherwise(F.lit(""))
-    count = F.size(F.filter(runs, lambda r: run_pays(r["line"], r["n"])))
-    return F.struct(
-        F.when(tagged, c).otherwise(F.concat(F.array_join(F.flatten(done), "\n"), end)).alias("text"), F.when(tagged, F.lit(0)).otherwise(count).cast("long").alias("runs")
-    )
+    block = lambda r: F.when(run_pays(r["line"], r["n"]), F.array(_tagged(r["line"], r["n"]))).otherwise(F.array_repeat(r["line"], r["n"]))
+
+    def build(text):
+        def whole(runs):
+            end = F.when(text.endswith("\n"), F.lit("\n")).otherwise(F.lit(""))
+            joined = F.concat(F.array_join(F.flatten(F.transform(runs, block)), "\n"), end)
+            count = F.size(F.filter(runs, lambda r: run_pays(r["line"], r["n"])))
+            return F.struct(joined.alias("text"), count.cast("long").alias("runs"))
+
+        tagged = F.exists(line_array(text), lambda x: x.rlike(TAG))
+        return F.when(tagged | text.isNull(), F.struct(text.alias("text"), F.lit(0).cast("long").alias("runs"))).otherwise(let(run_array(line_array(text)), whole))
+
+    return let(c, build)
 
 
 def expand_dups(c: Column) -> Column:
