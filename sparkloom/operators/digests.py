@@ -266,7 +266,7 @@ def digested(c: Column) -> Column:
         done = [(None, []) if t is None else digest(t) for t in texts]
         return pd.DataFrame({"text": [d[0] for d in done], "rules": [d[1] for d in done]})
 
-    return go(c)
+    return go.asNondeterministic()(c)
 
 
 def recovery_store(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -579,7 +579,7 @@ def encoded(c: Column, rules=DEFAULT) -> Column:
         done = [(None, []) if t is None else encode(t, rules) for t in texts]
         return pd.DataFrame({"text": [d[0] for d in done], "rules": [d[1] for d in done]})
 
-    return go(c)
+    return go.asNondeterministic()(c)  # encoded once, however often its fields are used
 
 
 def decoded(c: Column, rules: Column) -> Column:
