@@ -116,7 +116,7 @@ def clean_url(url) -> Column:
 def _clean_row(line: Column) -> Column:
     """A Markdown table row without padding."""
     s = F.trim(line)
-    cells = F.transform(F.split(F.substring(s, F.lit(2), F.length(s) - 2), r"\|", -1), F.trim)
+    cells = F.transform(F.split(F.substring(s, F.lit(2), F.length(s) - 2), r"\|", -1), lambda x: F.trim(x))
     rule = F.forall(cells, lambda c: (c == "") | c.rlike(r"^:?-{3,}:?$"))
     short = F.transform(cells, lambda c: F.when(c == "", "-").otherwise(F.regexp_replace(c, "-{3,}", "-")))
     return F.when(s.startswith("|") & s.endswith("|") & (F.length(s) >= 2), F.concat(F.lit("|"), F.array_join(F.when(rule, short).otherwise(cells), "|"), F.lit("|"))).otherwise(line)

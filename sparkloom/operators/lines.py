@@ -7,6 +7,7 @@ position and windows are partitioned by document.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,18 +120,31 @@ def headtail(lines: DataFrame, key: list[str], rate: float, budget: str, n: str
 def greedy_select(lines: DataFrame, key: list[str], rate: float, budget: str, score: str = "score") -> DataFrame:
     """lines with keep: by score, then position, each line that still fits is kept.
 
-    A line that does not fit is skipped and smaller ones may follow, so this is no running sum: a fold
-    over the document's sorted lines, in the JVM, with the lines themselves left out of the state.
+    A line that does not fit is skipped and smaller ones may follow, so this is no running sum but a
+    loop over the document's sorted line sizes; only numbers go through Python, not the lines.
     """
-    ranked = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), "pos", (F.length("line") + 1).alias("size")))).alias("all"), F.first(budget).alias("_b"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), "pos", (F.length("line") + 1).alias("size"))))
+    ranked = lines.groupBy(*key).agg(ordered.alias("_all"), (F.first(budget) * rate).cast("double").alias("_b"))
+    pick = _greedy()
+    part = lambda c: F.transform("_all", lambda x: x[c])
+    chosen = ranked.select(*key, F.explode(pick(part("pos"), part("size"), F.col("_b"))).alias("pos")).withColumn("keep", F.lit(True))
+    return lines.join(chosen, [*key, "pos"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
 
-    def step(state, x):
-        fits = (state["used"] + x["size"] <= F.col("_b") * rate) | (state["used"] == 0)
-        return F.struct((state["used"] + F.when(fits, x["size"]).otherwise(0)).cast("long").alias("used"), F.when(fits, F.array_append(state["kept"], x["pos"])).otherwise(state["kept"]).alias("kept"))
 
-    chosen = ranked.select(*key, F.explode(F.aggregate("all", start, step)["kept"]).alias("pos")).withColumn("keep", F.lit(True))
-    return lines.join(chosen, [*key, "pos"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+def _greedy():
+    @F.pandas_udf("array<int>")
+    def pick(positions: pd.Series, sizes: pd.Series, budgets: pd.Series) -> pd.Series:
+        out = []
+        for pos, size, budget in zip(positions, sizes, budgets, strict=True):
+            used, kept = 0, []
+            for p, n in zip(pos.tolist(), size.tolist(), strict=True):
+                if used + n <= budget or not used:
+                    used += n
+                    kept.append(p)
+            out.append(kept)
+        return pd.Series(out)
+
+    return pick
 
 
 def error_lines(lines: DataFrame, key: list[str], after: int = 3, before: int = 2) -> DataFrame:
