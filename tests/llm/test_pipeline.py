@@ -67,3 +67,19 @@ def test_queries_cover_their_tables(spark, sf, name):
     else:
         table = "pages" if name[:4] in ("op6_", "op8_") else "documents"
         assert rows == spark.read.parquet(f"{sf}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, sf, name):
+    import glob
+    import os
+
+    import duckdb
+
+    c = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    r = c.execute(queries.ORACLES[name])
+    columns = [d[0] for d in r.description]
+    rows = lambda x: sorted(tuple(sorted((k, repr(v)) for k, v in r.items())) for r in x)
+    assert rows(r.asDict() for r in queries.QUERIES[name](spark, sf).collect()) == rows(dict(zip(columns, x, strict=True)) for x in r.fetchall())
