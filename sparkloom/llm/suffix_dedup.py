@@ -230,8 +230,8 @@ def _join_windows(length: int):
 
 
 def repeated_spans(rows: DataFrame, length: int = 200, anchor: int = 64, group_cap: int = 1024) -> DataFrame:
-    """(_uid, spans array<struct<s,e>>) of rows (_uid, text): bytes covered by a repeated `length`-byte
-    string, unmerged and in no order.  Rows without one are left out."""
+    """(_uid, spans) of rows (_uid, text): bytes covered by a repeated `length`-byte string, as
+    ``start << 32 | end`` each, unmerged and in no order.  Rows without one are left out."""
     if not 1 <= anchor <= length:
         raise ValueError("anchor must lie between 1 and length")
     grams = materialize(
@@ -264,19 +264,18 @@ def repeated_spans(rows: DataFrame, length: int = 200, anchor: int = 64, group_c
     windows = opened.where(F.col("size") > group_cap).mapInArrow(_window_keys(length), "w1 long, w2 long, _uid long, s int, alone boolean")
     twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "windows")
     large = windows.where("alone").join(twice.hint("merge"), ["w1", "w2"]).select("_uid", "s").mapInArrow(_join_windows(length), _SPAN)
-    return equal.unionByName(small).unionByName(large).groupBy("_uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    packed = F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long"))
+    return equal.unionByName(small).unionByName(large).groupBy("_uid").agg(F.collect_list(packed).alias("spans"))
 
 
-def merge_spans(spans) -> list[tuple[int, int]]:
-    """Sorted maximal runs of half-open spans."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            if e > out[-1][1]:
-                out[-1] = (out[-1][0], e)
-        else:
-            out.append((s, e))
-    return out
+def merge_spans(packed: np.ndarray) -> list[tuple[int, int]]:
+    """Sorted maximal runs of packed half-open spans."""
+    if not len(packed):
+        return []
+    v = np.sort(packed)
+    start, end = v >> 32, np.maximum.accumulate(v & 0xFFFFFFFF)
+    first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+    return list(zip(start[first].tolist(), end[np.r_[first[1:] - 1, len(v) - 1]].tolist(), strict=True))
 
 
 def _character_inside(raw: bytes, s: int, e: int) -> tuple[int, int]:
@@ -295,8 +294,8 @@ def _apply(whole_characters: bool):
             removed, count, digest, kept = [], [], [], []
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
-                raw, spans = (text or "").encode(), lists[k].as_py()
-                runs_ = merge_spans((x["s"], x["e"]) for x in spans) if spans else []
+                raw, spans = (text or "").encode(), lists[k]
+                runs_ = merge_spans(spans.values.to_numpy()) if spans.is_valid else []
                 if whole_characters and runs_:
                     runs_ = [x for x in (_character_inside(raw, *r) for r in runs_) if x[0] < x[1]]
                 at, left = 0, []
