@@ -5,7 +5,7 @@
 * Documents with equal sets form a class; only classes take part in what follows.
 * In each band bucket every class is compared with the bucket's smallest class (a star, linear in
   the bucket).  Classes that are still in different components of a bucket are then compared with
-  each other in blocks of ``block`` by ``block`` classes, so nothing a band proposes stays untested,
+  each other in blocks of ``block`` by ``block`` classes (fewer if their sets are large), so nothing a band proposes stays untested,
   no bucket is capped and no bucket has to fit in one task.
 * A comparison looks at the sizes and at a parity sketch of 1,024 bits first (both exclude links
   with certainty), then at the sets.
@@ -28,6 +28,10 @@ from sparkloom.llm.shingles import _FACTORS, shingle_sets
 from sparkloom.llm.store import materialize, release, row_ids
 
 
+#: Members of a set that a block plans for.
+MEMBERS = 1000
+
+
 def band_count(percent: int, rows: int, miss: float) -> int:
     """Bands (an even number) so that a pair at the threshold meets in none with probability `miss`."""
     n = math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
@@ -197,9 +201,9 @@ def near_duplicates(
     kind = base.schema["_id"].dataType.simpleString()
     found = materialize(ids.select("_uid", "_id", "text").mapInArrow(_signatures(words, bands, rows), f"_uid long, _id {kind}, n long, c1 long, c2 long, bands array<long>"), "signatures")
     classes = materialize(
-        found.where("n > 0").groupBy("c1", "c2").agg(F.min("_uid").alias("cid"), F.min("_id").alias("least"), F.first("bands").alias("bands")), "classes"
+        found.where("n > 0").groupBy("c1", "c2").agg(F.min("_uid").alias("cid"), F.min("_id").alias("least"), F.first("bands").alias("bands"), F.first("n").alias("n")), "classes"
     )
-    keyed = classes.select("cid", F.explode("bands").alias("key"))
+    keyed = classes.select("cid", "n", F.explode("bands").alias("key"))
     buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1"), "buckets")
     members = materialize(keyed.join(buckets.hint("merge"), "key").where("cid != pivot"), "members")
     wanted = materialize(members.select("cid").unionByName(members.select(F.col("pivot").alias("cid"))).distinct(), "wanted")
@@ -209,12 +213,13 @@ def near_duplicates(
     star = materialize(_confirmed(materialize(members.select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct(), "star"), sets, percent), "confirmed")
     first = connected_components(star)
     labelled = materialize(
-        members.where("size > 2").join(first.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("key", "cid", "size", F.coalesce("component", "cid").alias("component")), "labelled"
+        members.where("size > 2").join(first.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("component")), "labelled"
     )
     open_ = materialize(
-        labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("left")).where("low != high").select("key", "left"), "open"
+        labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("left"), F.sum("n").alias("weight")).where("low != high").select("key", "left", "weight"), "open"
     )
-    parts = F.ceil(F.col("left") / F.lit(float(block))).cast("int")
+    # A block has `block` classes of MEMBERS members each, or fewer that are larger.
+    parts = F.ceil(F.greatest(F.col("left") / F.lit(float(block)), F.col("weight") / F.lit(float(block * MEMBERS)))).cast("int")
     spread = (
         labelled.join(open_.hint("merge"), "key")
         .withColumn("parts", parts)
