@@ -36,7 +36,10 @@ _POS = U64((1 << 24) - 1)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
-    """(row, gram hash, context hash, first start, last start) of each run; starts count within the row."""
+    """(row, gram hash, context hash, first start, last start, n) of each run; starts count within the row.
+
+    Runs that follow each other with the same gram and context (periodic text) are one with their number n.
+    """
     h1, h2 = PrefixHash(data, 0), PrefixHash(data, 1)
     gram = h1.windows(anchor)
     least = sliding_min((gram & ~_POS) | np.arange(len(gram), dtype=U64), length - anchor + 1)
@@ -47,11 +50,14 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
     start, at, row = start[keep], at[keep], row[keep]
     if not len(start):
         z = np.zeros(0, np.int64)
-        return z, z.astype(U64), z.astype(U64), z, z
+        return z, z.astype(U64), z.astype(U64), z, z, z
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
     a, b = start[first], start[np.r_[first[1:] - 1, len(start) - 1]]
-    r = row[first]
-    return r, gram[at[first]], h2.spans(a, b + length), a - offsets[r], b - offsets[r]
+    r, g, c = row[first], gram[at[first]], h2.spans(a, b + length)
+    head = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (r[1:] != r[:-1])])
+    n = np.diff(np.r_[head, len(r)])
+    r, start = r[head], offsets[r[head]]
+    return r, g[head], c[head], a[head] - start, b[head + n - 1] - start, n
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -73,9 +79,10 @@ def _grams(length: int, anchor: int):
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(1)):
                 for part, off, _ in pieces(data, offsets, length):
-                    keys, n = np.unique(runs(part, off, length, anchor)[1], return_counts=True)
-                    if len(keys):
-                        yield pa.record_batch([_long(keys), _long(n)], names=["gram", "n"])
+                    _, grams, _, _, _, n = runs(part, off, length, anchor)
+                    if len(grams):
+                        keys, which = np.unique(grams, return_inverse=True)
+                        yield pa.record_batch([_long(keys), _long(np.bincount(which, n).astype(np.int64))], names=["gram", "n"])
 
     return go
 
@@ -86,11 +93,11 @@ def _rows(length: int, anchor: int):
             uid = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offsets in slices(batch.column(1)):
                 for part, off, base in pieces(data, offsets, length):
-                    r, g, c, a, b = runs(part, off, length, anchor)
+                    r, g, c, a, b, n = runs(part, off, length, anchor)
                     if len(r):
                         yield pa.record_batch(
-                            [_long(g), _long(c), _long(uid[i + r]), pa.array((a + base).astype(np.int32)), pa.array((b - a).astype(np.int32))],
-                            names=["gram", "context", "_uid", "a", "more"],
+                            [_long(g), _long(c), _long(uid[i + r]), pa.array((a + base).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(n.astype(np.int32))],
+                            names=["gram", "context", "_uid", "a", "more", "n"],
                         )
 
     return go
@@ -238,11 +245,11 @@ def repeated_spans(rows: DataFrame, length: int = 200, anchor: int = 64, group_c
         rows.mapInArrow(_grams(length, anchor), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams"
     )
     found = materialize(
-        rows.mapInArrow(_rows(length, anchor), "gram long, context long, _uid long, a int, more int").join(grams.hint("merge"), "gram"), "runs"
+        rows.mapInArrow(_rows(length, anchor), "gram long, context long, _uid long, a int, more int, n int").join(grams.hint("merge"), "gram"), "runs"
     )
     release(grams)
     contexts = materialize(
-        found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("_uid", "a", "more")).alias("one")), "contexts"
+        found.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct("_uid", "a", "more")).alias("one")), "contexts"
     )
     equal = found.join(contexts.where("n > 1").select("gram", "context").hint("merge"), ["gram", "context"]).select(
         "_uid", F.col("a").alias("s"), (F.col("a") + F.col("more") + length).alias("e")

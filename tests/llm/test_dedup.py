@@ -59,11 +59,18 @@ def test_very_long_text_in_pieces(spark, monkeypatch):
     text += text[1000:1500] + "x" + text[2000:2300]
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     data = np.frombuffer(text.encode(), np.uint8)
-    found = [(base + a, base + b) for part, off, base in suffix_dedup.pieces(data, np.array([0, len(data)]), 200) for _, _, _, a, b in zip(*suffix_dedup.runs(part, off, 200, 64), strict=True)]
+    found = [(base + a, base + b) for part, off, base in suffix_dedup.pieces(data, np.array([0, len(data)]), 200) for _, _, _, a, b, _ in zip(*suffix_dedup.runs(part, off, 200, 64), strict=True)]
     starts = sorted(s for a, b in found for s in range(a, b + 1))
     assert starts == list(range(len(text) - 199))
 
 
+def test_periodic_texts(spark):
+    texts = ["Aningti " * 300, "Aningti " * 20 + "end", "ab" * 150, "xyz" * 66 + "xy", "q" * 199, "q" * 200, "q" * 201 + "Aningti " * 26]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(rows).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 200)))
+
+
 def test_radix_passes():
     data = np.frombuffer(b"abcabcabcXabcabcabcY", np.uint8)
     starts = np.arange(len(data) - 7)
