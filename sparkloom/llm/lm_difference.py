@@ -6,24 +6,33 @@ they were counted on.  A document's score is its mean loss per token under the t
 that under the background model: negative means closer to the target.
 
 Counts cover every document.  They are kept in two folds by a hash of the id, and a document is
-scored by the models of the fold that it is not in, so no document lowers its own loss.  The vocabulary is the ``vocabulary`` most frequent words (everything
-else is one unknown word) and bigrams are counted in ``cells`` cells by hash, so the models have a
-fixed size whatever the corpus; only counts are gathered, one row for each cell and task.
+scored by the models of the fold that it is not in, so no document lowers its own loss.
+
+Every word and every bigram has its own count (by 64-bit hashes) in tables that grow with the corpus.
+A loss is a sum over a document's words and bigrams of what each adds to the loss of an unseen word,
+and a bigram adds nothing unless both folds have it.  Only what the ``cells`` most frequent words and
+bigrams add goes to the tasks; everything else is joined, so no key of that join is frequent.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.batches import slices, with_text_columns
+from sparkloom.llm.batches import slices
 from sparkloom.llm.hashing import U64, mix
 from sparkloom.llm.shingles import word_hashes
-from sparkloom.llm.store import materialize, release
+from sparkloom.llm.store import bounded_batches, materialize, release, row_ids
 
-VOCABULARY, CELLS, WEIGHT, ADD = 1 << 16, 1 << 20, 0.7, 0.5
+CELLS, WEIGHT, ADD = 1 << 19, 0.7, 0.5
+#: Losses are added as integers of this scale, so sums don't depend on the order.
+SCALE = 1 << 32
+COUNTS = ("t0", "n0", "t1", "n1")
 
 
 def fold_of(id_col: str):
@@ -31,125 +40,179 @@ def fold_of(id_col: str):
     return F.coalesce(F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(2)), F.lit(0)).cast("int")
 
 
-def _cells(previous: np.ndarray, word: np.ndarray, cells: int) -> np.ndarray:
-    return (mix(previous.astype(U64) * U64(0x9E3779B97F4A7C15) + word.astype(U64)) & U64(cells - 1)).astype(np.int64)
+def _pair_key(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(previous) * U64(0x9E3779B97F4A7C15) + word)
+
 
+def _word_key(word: np.ndarray, last) -> np.ndarray:
+    """The key of a word before another one, or at the end of its document."""
+    return mix(word ^ np.where(last, U64(0xA24BAED4963EE407), U64(0x8CB92BA72F3D8DD7)))
 
-def _tokens(column: pa.Array, vocabulary: np.ndarray):
-    """(first row, last row, token ids, row): 0 is the unknown word."""
+
+def _tokens(column: pa.Array, known: np.ndarray | None):
+    """(first row, last row, word hashes, row); 0 is a word that is not known."""
     for i, j, data, offsets in slices(column):
         h, row, _, _ = word_hashes(data, offsets)
-        if len(vocabulary):
-            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            ids = np.where(vocabulary[at] == h, at + 1, 0)
-        else:
-            ids = np.zeros(len(h), np.int64)
-        yield i, j, ids, row
+        if known is not None:
+            h = np.where(np.isin(h, known), h, U64(0))
+        yield i, j, h, row
+
 
+def _counted(key: np.ndarray, target: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """(first place of each key, its COUNTS)."""
+    if not len(key):
+        return np.zeros(0, np.int64), [pa.array([], pa.int64())] * 4
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    target, fold = target[order], fold[order]
+    masks = [(fold == f) & (target if k else True) for f in range(2) for k in (1, 0)]
+    return order[start], [pa.array(np.add.reduceat(m.astype(np.int64), start)) for m in masks]
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word hash, n) over all documents."""
+
+def _counts(rows: DataFrame, known, pairs: bool) -> DataFrame:
+    """COUNTS of each word, or of each (previous, word), over (text, good, fold)."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    names = ["previous", "word"] if pairs else ["word"]
 
     def go(batches):
         for batch in batches:
-            parts = [word_hashes(data, offsets)[0] for _, _, data, offsets in slices(batch.column(0))]
-            h, n = np.unique(np.concatenate([*parts, np.zeros(0, U64)]), return_counts=True)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+            target, folds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            parts = [(h, row + i) for i, _, h, row in _tokens(batch.column(0), shared.value)]
+            h, row = (np.concatenate([*(p[k] for p in parts), np.zeros(0, kind)]) for k, kind in ((0, U64), (1, np.int64)))
+            if pairs:
+                inside = np.flatnonzero(row[1:] == row[:-1])
+                columns, row = [h[inside], h[inside + 1]], row[inside]
+            else:
+                columns = [h]
+            at, counts = _counted(_pair_key(*columns) if pairs else h, target.astype(bool)[row], folds[row])
+            yield pa.record_batch([*(pa.array(c[at].view(np.int64)) for c in columns), *counts], names=[*names, *COUNTS])
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(go, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(go, ", ".join(f"{c} long" for c in [*names, *COUNTS]))
+    return found.groupBy(*names).agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
+@dataclass
 class PairedModels:
-    """Unigram and bigram counts of both models over one vocabulary."""
-
-    def __init__(self, vocabulary: np.ndarray, unigrams: np.ndarray, bigrams: np.ndarray):
-        self.vocabulary, self.bigrams = vocabulary, bigrams.astype(np.float32)
-        self.unigrams = unigrams.astype(np.float64)
-        total = self.unigrams.sum(axis=1, keepdims=True)
-        self.single = (self.unigrams + ADD) / (total + ADD * self.unigrams.shape[1])
-
-    def losses(self, ids: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, mean loss of (target, background)) per row, in nats."""
-        n = np.bincount(row, minlength=rows)
-        out = np.zeros((2, rows))
-        first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
-        cell = _cells(np.r_[ids[:1], ids[:-1]], ids, self.bigrams.shape[1])
-        previous = np.r_[ids[:1], ids[:-1]]
-        for k in range(2):
-            history = self.unigrams[k][previous]
-            pair = np.minimum(np.where(first | (history == 0), 0.0, self.bigrams[k][cell]), history)
-            weight = np.where(first | (history == 0), 0.0, WEIGHT)
-            p = weight * pair / np.maximum(history, 1) + (1 - weight) * self.single[k][ids]
-            out[k] = np.bincount(row, -np.log(p), rows)
-        return n, out / np.maximum(n, 1)
-
-
-def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, cells: int = CELLS) -> list[PairedModels]:
-    """Count both models of both folds; `good` has the ids of the target documents in a column named
-    like id_col.  The result's item f is counted on fold f."""
-    counts = materialize(word_counts(docs, text_col), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary - 1).toArrow()
-    release(counts)
-    known = np.sort(top.column("word").to_numpy().astype(np.int64).view(U64))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    """What words and bigrams add to the loss of an unseen word, by the fold counted on.
 
-    def go(batches):
-        words_ = shared.value
-        single, double = np.zeros((2, 2, len(words_) + 1), np.int64), np.zeros((2, 2, cells), np.int32)
-        for batch in batches:
-            target, folds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-            for i, j, ids, row in _tokens(batch.column(0), words_):
-                cell = _cells(ids[:-1], ids[1:], cells)
-                inside = row[1:] == row[:-1]
-                mine, fold = target[i:j].astype(bool)[row], folds[i:j][row]
-                for f in range(2):
-                    for k, who in ((0, mine & (fold == f)), (1, fold == f)):
-                        single[f, k] += np.bincount(ids[who], minlength=single.shape[2])
-                        np.add.at(double[f, k], cell[inside & who[1:]], 1)
-        for f in range(2):
-            for kind, table in ((0, single), (1, double)):
-                at = np.flatnonzero(table[f, 1])
-                yield pa.record_batch([pa.array(np.full(len(at), 2 * f + kind, np.int32)), pa.array(at.astype(np.int32)), *(pa.array(table[f, k, at].astype(np.int64)) for k in range(2))], names=["kind", "cell", "t", "b"])
+    table: (key, n, t0, n0, t1, n1) of all of them; keys and added: those with n >= least;
+    unseen: the loss of an unseen word, by fold and model.
+    """
+
+    table: DataFrame
+    keys: np.ndarray
+    added: np.ndarray
+    least: int
+    unseen: list[list[float]]
+    known: np.ndarray | None
+
+
+def _keyed(batches):
+    """(previous, word, last, n, COUNTS) with a key in place of the first three."""
+    for batch in batches:
+        previous, word = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for k in range(2))
+        kind = batch.column(2).to_numpy(zero_copy_only=False)
+        key = np.where(kind == 2, _pair_key(previous, word), _word_key(word, kind == 1))
+        yield pa.record_batch([pa.array(key.view(np.int64)), *batch.columns[3:]], names=["key", "n", *COUNTS])
 
+
+def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, cells: int = CELLS) -> PairedModels:
+    """Count both models of both folds; `good` has the ids of the target documents in a column named
+    like id_col.  With a vocabulary, all but its vocabulary - 1 most frequent words are one unknown
+    word; without one, every word counts.  `cells` bounds what goes to the tasks and changes no result."""
+    bounded_batches(docs.sparkSession)
     marks = good.select(F.col(f"`{id_col}`").alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(marks.hint("merge"), "_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"), fold_of("_id").alias("fold"))
-    table = rows.mapInArrow(go, "kind int, cell int, t long, b long").groupBy("kind", "cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    kind, at = table.column("kind").to_numpy(), table.column("cell").to_numpy()
-    out = []
-    for f in range(2):
-        single, double = np.zeros((2, len(known) + 1)), np.zeros((2, cells), np.float32)
-        for k, name in enumerate("tb"):
-            n = table.column(name).to_numpy()
-            single[k][at[kind == 2 * f]] = n[kind == 2 * f]
-            double[k][at[kind == 2 * f + 1]] = n[kind == 2 * f + 1]
-        out.append(PairedModels(known, single, double))
-    return out
-
-
-def score(docs: DataFrame, models: list[PairedModels], *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    known, words = None, materialize(_counts(rows, None, False), "words")
+    if vocabulary is not None:
+        top = words.orderBy(F.desc(F.expr("n0 + n1")), "word").limit(vocabulary - 1).toArrow()
+        release(words)
+        known = np.sort(top.column("word").to_numpy().astype(np.int64).view(U64))
+        words = materialize(_counts(rows, known, False), "words")
+    distinct, *totals = words.agg(F.count_if(F.lit(True) if known is None else F.col("word") != 0), *(F.coalesce(F.sum(c), F.lit(0)) for c in COUNTS)).first()
+    sizes = [n + ADD * (distinct + 1) for n in totals]
+    pairs = materialize(_counts(rows, known, True).where("n0 > 0 and n1 > 0"), "pairs")
+
+    def fixed(x):
+        return F.round(x * SCALE).cast("long")
+
+    history = words.select(F.col("word").alias("previous"), *(F.col(c).alias(f"h_{c}") for c in COUNTS)).hint("merge")
+    single = words.select("word", *(F.col(c).alias(f"s_{c}") for c in COUNTS)).hint("merge")
+    odds = [F.when(F.col(c) > 0, F.col(c) / F.col(f"h_{c}") * (WEIGHT / (1 - WEIGHT)) * size / (F.col(f"s_{c}") + ADD)).otherwise(0.0) for c, size in zip(COUNTS, sizes, strict=True)]
+    of_pairs = pairs.join(history, "previous").join(single, "word").select("previous", "word", F.lit(2).alias("kind"), F.expr("n0 + n1").alias("n"), *(fixed(-F.log1p(x)).alias(c) for x, c in zip(odds, COUNTS, strict=True)))
+    of_words = words.select(F.lit(0).cast("long").alias("previous"), "word", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"), F.expr("n0 + n1").alias("n"), *COUNTS)
+    of_words = of_words.select("previous", "word", "kind", "n", *(fixed(-F.log1p(F.col(c) / ADD) - F.when((F.col("kind") == 0) & (F.col(c) > 0), math.log(1 - WEIGHT)).otherwise(0.0)).alias(c) for c in COUNTS))
+    table = materialize(of_pairs.unionByName(of_words).mapInArrow(_keyed, ", ".join(f"{c} long" for c in ["key", "n", *COUNTS])), "losses")
+    release(words, pairs)
+
+    least, room = 1 << 62, cells
+    step = F.floor(F.log2("n") * 8)
+    for _, many, low in sorted(table.groupBy(step.alias("step")).agg(F.count("*"), F.min("n")).collect(), reverse=True):
+        room -= many
+        if room < 0:
+            break
+        least = low
+    top = table.where(F.col("n") >= least).toArrow()
+    keys = top.column("key").to_numpy().astype(np.int64).view(U64)
+    order = np.argsort(keys)
+    added = np.array([top.column(c).to_numpy()[order] for c in COUNTS], np.int64).reshape(4, len(keys))
+    unseen = [[math.log(sizes[2 * f + k] / ADD) for k in range(2)] for f in range(2)]
+    return PairedModels(table, keys[order], added, least, unseen, known)
+
+
+def score(docs: DataFrame, models: PairedModels, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with n_tokens long, target_loss, background_loss and difference (double).
 
     Texts without words (null, empty, blank) have 0 tokens and null losses.  Rows are independent,
     so repeated rows get equal results; an empty table gives an empty one; columns named like a
     result are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # fixed size: vocabulary and cells
-
-    def make():
-        models = shared.value
-
-        def go(column: pa.Array, folds: pa.Array) -> list[pa.Array]:
-            count, target, background = [], [], []
-            fold = folds.to_numpy(zero_copy_only=False)
-            for i, j, ids, row in _tokens(column, models[0].vocabulary):
-                n, a = models[0].losses(ids, row, j - i)
-                loss = np.where(fold[i:j] == 0, models[1].losses(ids, row, j - i)[1], a)
-                count += n.tolist()
-                target += [x if k else None for x, k in zip(loss[0].tolist(), n, strict=True)]
-                background += [x if k else None for x, k in zip(loss[1].tolist(), n, strict=True)]
-            diff = [None if a is None else a - b for a, b in zip(target, background, strict=True)]
-            return [pa.array(count, pa.int64())] + [pa.array(x, pa.float64()) for x in (target, background, diff)]
-
-        return go
-
-    return with_text_columns(docs, text_col, "n_tokens long, target_loss double, background_loss double, difference double", make, keep_text, fold_of(id_col))
+    bounded_batches(docs.sparkSession)
+    results = ("n_tokens", "target_loss", "background_loss", "difference")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results])
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{text_col}`").alias("_text"), fold_of(id_col).alias("_fold"))
+    rows, _ = row_ids(packed, "_id", ["_row", "_text", "_fold"])
+    shared = docs.sparkSession.sparkContext.broadcast((models.keys, models.added, models.known))  # `cells` rows at most
+
+    def found(batch):
+        """(first row, last row, row of each word and bigram, its key, its place in keys, whether it is there)."""
+        keys, _, known = shared.value
+        for i, j, h, row in _tokens(batch.column(2), known):
+            last = np.r_[row[1:] != row[:-1], True] if len(row) else np.zeros(0, bool)
+            pair = np.flatnonzero(~last)
+            key = np.concatenate([_word_key(h, last), _pair_key(h[pair], h[pair + 1])])
+            one, back = np.unique(key, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, one), max(len(keys) - 1, 0))
+            here = keys[at] == one if len(keys) else np.zeros(len(one), bool)
+            yield i, j, row, np.r_[row, row[pair]], key, at[back], here[back]
+
+    def near(batches):
+        added = shared.value[1]
+        for batch in batches:
+            fold = batch.column(1).to_numpy(zero_copy_only=False)
+            n, loss = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows), np.int64)
+            for i, j, row, every, _, at, here in found(batch):
+                n[i:j] = np.bincount(row, minlength=j - i)
+                every, at = every[here], at[here]
+                for k in range(2):
+                    np.add.at(loss[k], every + i, added[2 * (1 - fold[every + i]) + k, at])
+            yield pa.record_batch([batch.column(0), pa.array(n), *(pa.array(x) for x in loss)], names=["_uid", "n", "t", "b"])
+
+    def far(batches):
+        for batch in batches:
+            uid, fold = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for i, _, _, every, key, _, here in found(batch):
+                every = every[~here] + i
+                yield pa.record_batch([pa.array(key[~here].view(np.int64)), pa.array(uid[every]), pa.array(fold[every].astype(np.int32))], names=["key", "_uid", "fold"])
+
+    texts = rows.select("_uid", "_fold", "_text")
+    rest = models.table.where(F.col("n") < models.least).drop("n").hint("merge")
+    joined = texts.mapInArrow(far, "key long, _uid long, fold int").join(rest, "key")
+    joined = joined.select("_uid", F.lit(0).cast("long").alias("n"), *(F.when(F.col("fold") == 0, F.col(f"{c}1")).otherwise(F.col(f"{c}0")).alias(k) for c, k in (("t", "t"), ("n", "b"))))
+    sums = texts.mapInArrow(near, "_uid long, n long, t long, b long").unionByName(joined).groupBy("_uid").agg(*(F.sum(c).alias(c) for c in "ntb"))
+    out = rows.select("_uid", "_row", "_fold", *(["_text"] if keep_text else [])).join(sums.hint("merge"), "_uid")
+    losses = [F.when(F.col("n") > 0, F.when(F.col("_fold") == 0, models.unseen[1][k]).otherwise(models.unseen[0][k]) + F.col(c) / SCALE / F.col("n")) for k, c in enumerate("tb")]
+    front = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != text_col or keep_text]
+    return out.select(*front, F.col("n").alias("n_tokens"), losses[0].alias("target_loss"), losses[1].alias("background_loss"), (losses[0] - losses[1]).alias("difference"))

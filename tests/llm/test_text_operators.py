@@ -292,3 +292,38 @@ def test_models_by_brute_force(spark, no_docs):
     empty = lm_difference.fit(no_docs, no_docs)
     assert lm_difference.score(no_docs, empty).collect() == []
     assert all(r.difference is None or math.isfinite(r.difference) for r in lm_difference.score(docs, empty).collect())
+
+
+def test_models_count_every_word_and_bigram(spark):
+    """Nothing is unknown or shares a cell at the default size, and what the tasks hold changes no result."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.3)), 200_000)}" for _ in range(400)) for _ in range(600)]
+    texts += [f"x{i} y{i} x{i}" for k in range(2) for i in range(40_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    good = docs.where("doc_id % 2 = 0").select("doc_id")
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", lm_difference.fold_of("doc_id").alias("f")).collect()}
+    one, two = ({(f, only): collections.Counter() for f in range(2) for only in (True, False)} for _ in range(2))
+    for d, t in enumerate(texts):
+        w = t.split()
+        for only in (True, False)[d % 2 :]:
+            one[folds[d], only].update(w)
+            two[folds[d], only].update(zip(w[:-1], w[1:], strict=True))
+    size, totals = len({w for c in one.values() for w in c}) + 1, {k: sum(c.values()) for k, c in one.items()}
+    assert size > 1 << 16
+    for cells in (lm_difference.CELLS, 3000):
+        models = lm_difference.fit(docs, good, cells=cells)
+        assert len(models.keys) <= cells
+        seen = 0
+        for r in lm_difference.score(docs, models).collect():
+            w, losses = r.text.split(), []
+            for only in (True, False):
+                n, pairs = one[1 - folds[r.doc_id], only], two[1 - folds[r.doc_id], only]
+                total, loss = totals[1 - folds[r.doc_id], only], 0.0
+                for i, x in enumerate(w):
+                    weight = lm_difference.WEIGHT if i and n[w[i - 1]] else 0.0
+                    pair = pairs[w[i - 1], x] / n[w[i - 1]] if weight else 0.0
+                    loss -= math.log(weight * pair + (1 - weight) * (n[x] + lm_difference.ADD) / (total + lm_difference.ADD * size))
+                losses.append(loss / len(w))
+            assert r.n_tokens == len(w) and abs(r.target_loss - losses[0]) < 1e-6 and abs(r.background_loss - losses[1]) < 1e-6
+            seen += 1
+        assert seen == len(texts)
