@@ -1,3 +1,4 @@
+import base64
 import collections
 import json
 import math
@@ -110,6 +111,21 @@ def test_compression_bands(spark):
     assert {r.doc_id: r.kept for r in compression_quality.quality(rows).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_compression_bands_decide(spark, sf):
+    """Random base64 words fail at any length, also as the tail of prose; clean documents stay."""
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    rows = compression_quality.quality(docs).where("not base_failed and n_symbols <= 0.1 * n_words").collect()
+    assert len(rows) > 500 and all(r.kept for r in rows)
+    noise = lambda n: " ".join(base64.b64encode(rng.randbytes(rng.randint(3, 9))).decode() for _ in range(n))[:n]
+    prose = next(r.text for r in rows if len(r.text.encode()) > 1024)
+    while len(prose.encode()) > 1024:
+        prose = prose[:-1]
+    texts = [noise(n) for n in (216, 300, 433, 700, 1013, 2890, 20_000)] + [prose + noise(600)]
+    out = compression_quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [(r.base_failed, r.kept) for r in out] == [(False, False)] * len(texts)
+
+
 def test_licenses_by_brute_force(spark, odd_docs, no_docs):
     texts = ["under the MIT license. Under the mit License", "Apache License, Version 2.0 and cc-by-nc CC BY NC", "licensed under the GNU General Public License, version 3", "the mit license under the", "cc by cc by nc by nc", None, "é under the mit license", "THIS IS FREE and unencumbered software released into the public domain"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").unionByName(odd_docs.selectExpr("cast(doc_id as int) doc_id", "text"))
