@@ -1,8 +1,10 @@
 """WARC archives: write pages as response and revisit records, read them back, salvage damaged files.
 
 The reader trusts nothing: a record counts only if its version line, length, end mark and digests
-hold.  After a failed check it looks for the next version line or gzip member that does hold, so
-later records are recovered, and logs the bytes between as a quarantined gap.
+hold (digests of an unknown algorithm or encoding are not checked).  After a failed check it looks for
+the next version line or gzip member that does hold, so later records are recovered, and logs the
+bytes between as a quarantined gap.  Of a gzip member every record that holds counts, and of a broken
+member those of the part that can be unpacked; its records and its gap have the member's place.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from sparkloom.llm.store import fresh_path, materialize
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_ALGORITHMS = ("md5", "sha1", "sha256", "sha384", "sha512")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,6 +55,28 @@ def format_record(page_id, url, payload: bytes, digest: str, refers_to=None) ->
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def declared_digest(text: str) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a labelled digest; None if the algorithm or the encoding is unknown."""
+    name, colon, value = text.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip().rstrip("=")
+    if not colon or name not in _ALGORITHMS:
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        if len(value) == 2 * size:
+            return name, bytes.fromhex(value)
+        if len(value) == -(-size * 8 // 5):
+            return name, base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return name, b""  # the right length with a damaged letter: equal to no digest
+    return None
+
+
+def _differs(declared: str | None, raw: bytes) -> bool:
+    known = declared_digest(declared or "")
+    return known is not None and hashlib.new(known[0], raw).digest() != known[1]
+
+
 class Damaged(ValueError):
     """A record that fails a check; `end` is where it ends if its frame holds."""
 
@@ -81,64 +106,95 @@ def parse_record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if raw[end : end + 4] != b"\r\n\r\n":
         raise Damaged("no end mark")
     block = raw[begin:end]
-    declared = headers.get("warc-block-digest")
-    if declared and declared.removeprefix("sha1:") != sha1_base32(block):
+    if _differs(headers.get("warc-block-digest"), block):
         raise Damaged("block digest", end + 4)
     head, blank, payload = block.partition(b"\r\n\r\n")
     if not blank:
         payload = block
-    declared = headers.get("warc-payload-digest")
-    if headers.get("warc-type") == "response" and declared and declared.removeprefix("sha1:") != sha1_base32(payload):
+    if headers.get("warc-type") == "response" and _differs(headers.get("warc-payload-digest"), payload):
         raise Damaged("payload digest", end + 4)
     return headers, payload, end + 4
 
 
-def _member(raw: bytes, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at `at`."""
-    unzip = zlib.decompressobj(31)
-    try:
-        content = unzip.decompress(memoryview(raw)[at:])
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
+def _member(raw: bytes, at: int) -> tuple[bytes, int, str]:
+    """(content, end, "") of the gzip member at `at`; of a broken one the part that can be unpacked,
+    where it breaks and why."""
+    unzip, parts, view, step = zlib.decompressobj(31), [], memoryview(raw), 1 << 16
+    while not unzip.eof and at < len(raw):
+        before = unzip.copy() if step > 1 else None
+        try:
+            parts.append(unzip.decompress(view[at : at + step]))
+        except zlib.error as e:
+            if before is None:
+                return b"".join(parts), at, f"gzip: {e}"
+            unzip, step = before, 1  # an error drops what its piece gave: byte by byte up to it
+            continue
+        at += step
     if not unzip.eof:
-        raise Damaged("gzip member does not end")
-    return content, len(raw) - len(unzip.unused_data)
+        return b"".join(parts), len(raw), "gzip member does not end"
+    return b"".join(parts), min(at, len(raw)) - len(unzip.unused_data), ""
+
+
+def _inner(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str]:
+    """(records that hold, first reason why others don't) of an unpacked member."""
+    found, at, why = [], 0, ""
+    while at < len(content):
+        try:
+            headers, payload, at = parse_record(content, at)
+            found.append((headers, payload))
+        except Damaged as e:
+            following = e.end
+            if following is None:
+                m = _VERSION.search(content, at + 1)
+                following = m.start() if m else len(content)
+            if content[at:following].strip(b"\r\n"):
+                why = why or str(e)
+            at = following
+    return found, why
 
 
 def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
     """('record', start, end, headers, payload) and ('gap', start, end, reason, b'') in file order."""
 
-    def read(at: int):
-        if raw.startswith(b"\x1f\x8b", at):
-            content, end = _member(raw, at)
-            found, inner = [], 0
-            while inner < len(content):
-                headers, payload, inner = parse_record(content, inner)
-                found.append((headers, payload))
-            return found, end
-        headers, payload, end = parse_record(raw, at)
-        return [(headers, payload)], end
+    def search(at: int) -> int:
+        m = _START.search(raw, at + 1)
+        return m.start() if m else len(raw)
 
     at, bad, why = 0, None, ""
+    held, until = [], 0  # records of the last broken member, and where it breaks: its bytes are searched again
     while at < len(raw):
-        try:
-            found, end = read(at)
-        except Damaged as e:
+        reason = ""
+        if raw.startswith(b"\x1f\x8b", at):
+            content, end, broken = _member(raw, at)
+            found, reason = _inner(content)
+            if at < until:
+                found = [x for x in found if x not in held]
+            if broken:
+                reason = broken
+                if found:
+                    held, until = (held if at < until else []) + found, max(until, end)
+                end = search(at)  # the next member may begin before the place where this one breaks
+        else:
+            found = []
+            try:
+                headers, payload, end = parse_record(raw, at)
+                if at >= until or (headers, payload) not in held:
+                    found = [(headers, payload)]
+                else:
+                    reason = "record of a broken member"
+            except Damaged as e:
+                end, reason = e.end or search(at), str(e)
+        if not found and (reason or bad is not None):
             if bad is None:
-                bad, why = at, str(e)
-            following = e.end
-            if following is None:
-                m = _START.search(raw, at + 1)
-                following = m.start() if m else len(raw)
-            at = following
-            if at >= len(raw):
-                break
-            continue
-        if bad is not None:
-            yield "gap", bad, at, why, b""
-            bad = None
-        for headers, payload in found:
-            yield "record", at, end, headers, payload
+                bad, why = at, reason
+        else:
+            if bad is not None:
+                yield "gap", bad, at, why, b""
+                bad = None
+            for headers, payload in found:
+                yield "record", at, end, headers, payload
+            if reason:
+                yield "gap", at, end, reason, b""
         at = end
     if bad is not None:
         yield "gap", bad, len(raw), why, b""
@@ -193,7 +249,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Rows of kind 'record' and 'gap': path, start, end, page_id, url, record_type, payload_bytes,
-    payload_digest (bare base32 SHA-1 of the full payload), refers_to, payload and reason.
+    payload_digest (bare base32 SHA-1 of the full payload; null for a revisit that declares another), refers_to, payload and reason.
 
     Records that fail a check are not rows of kind 'record'; their bytes are in a gap with the reason.
     An empty folder gives no rows; an empty file gives none either.
@@ -221,7 +277,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         continue
                     h, kind_ = what, what.get("warc-type")
                     size = int(h["x-payload-length"]) if kind_ == "revisit" and h.get("x-payload-length", "").isdigit() else len(payload)
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or sha1_base32(payload)
+                    known = declared_digest(h.get("warc-payload-digest", ""))
+                    digest = base64.b32encode(known[1]).decode() if known and known[0] == "sha1" else None if kind_ == "revisit" else sha1_base32(payload)
                     rows.append((kind, where, a, b, number(h.get("warc-record-id")), h.get("warc-target-uri"), kind_, size, digest, number(h.get("warc-refers-to")), payload, None))
                     if len(rows) >= 512:
                         yield batch_of(rows)

@@ -182,6 +182,45 @@ def test_salvage_recovers_and_logs():
     assert list(warc_salvage.salvage(b"")) == [] and [p[0] for p in warc_salvage.salvage(b"junk")] == ["gap"]
 
 
+def test_salvage_inside_members():
+    """Valid records of gzip archives stay, whatever fails beside them."""
+    import gzip
+    import hashlib
+    import itertools
+
+    def record(i, digest=None, n=900):
+        payload = random.Random(i).randbytes(n // 2).hex().encode()
+        return warc_salvage.format_record(i, "u", payload, digest or warc_salvage.sha1_base32(payload))
+
+    def ids(raw):
+        parts = list(itertools.islice(warc_salvage.salvage(raw), 1000))
+        spans = sorted({(p[1], p[2]) for p in parts})
+        assert spans[0][0] == 0 and spans[-1][1] == len(raw) and all(a[1] == b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
+        return [int(p[3]["warc-record-id"][10:-1]) for p in parts if p[0] == "record"], [p[3] for p in parts if p[0] == "gap"]
+
+    wrong = warc_salvage.sha1_base32(b"other")
+    for bad in range(12):
+        raw = b"".join(gzip.compress(record(i, wrong if i == bad else None)) for i in range(12))
+        assert ids(raw) == ([i for i in range(12) if i != bad], ["payload digest"])
+    assert ids(gzip.compress(b"".join(record(i, wrong if i == 1 else None) for i in range(4)) + b"\r\n") + gzip.compress(record(4))) == ([0, 2, 3, 4], ["payload digest"])
+    assert ids(gzip.compress(record(0) + b"WARC/1.1\r\njunk\r\n\r\n" + record(1))) == ([0, 1], ["header line without a colon"])
+    for level in (0, 6):
+        long = gzip.compress(b"".join(record(i, n=20_000) for i in range(10)), level)
+        for cut in (len(long) * 2 // 3, len(long) - 3):
+            got = ids(long[:cut] + gzip.compress(record(10)))[0]
+            assert got[-1] == 10 and got[:-1] == list(range(len(got) - 1)) and len(got) >= 6
+        crc = bytearray(long)
+        crc[-6] ^= 1
+        assert ids(bytes(crc) + gzip.compress(record(10)))[0] == list(range(11))
+    payload = random.Random(5).randbytes(450).hex().encode()
+    for good, other in ((hashlib.sha1(payload).hexdigest(), hashlib.sha1(b"").hexdigest()), (wrong[:-4], None)):
+        assert ids(record(5, good))[0] == [5] and (other is None or ids(record(5, other))[0] == [])
+    for name, check in (("sha256", True), ("md5", True), ("blake3", False)):
+        digest = hashlib.new(name if check else "sha256", payload).hexdigest()
+        for text, want in ((digest, [5]), ("0" * len(digest), [] if check else [5])):
+            assert ids(record(5).replace(b"Payload-Digest: sha1:" + warc_salvage.sha1_base32(payload).encode(), f"Payload-Digest: {name}:{text}".encode()))[0] == want
+
+
 @pytest.mark.parametrize(
     ("url", "parts", "rule"),
     [
