@@ -27,6 +27,8 @@ from sparkloom.llm.store import bounded_batches
 K1, B = 1.2, 0.75
 #: Least normalised BM25 score, least overlap of shingles and of question and answer words.
 SCORE, OVERLAP, SHINGLE = 0.5, 0.8, 5
+#: An answer of fewer distinct words decides nothing: one edit would take more than its share.
+ANSWER = 5
 #: Items per index block, items per broadcast index, and the share of items that makes a term common.
 BLOCK, ITEMS, COMMON = 8, 20_000, 0.05
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -171,7 +173,7 @@ def _search(index: ItemIndex):
             a = max(0, (q - int(bases[r]) - 1) * span)
             part = h[starts[r] + a : min(starts[r + 1], starts[r] + a + (2 if q > bases[r] else 1) * span)]
             found = index.verify(item, part)
-            if min(found) >= OVERLAP:
+            if min(found if len(index.answer[item]) >= ANSWER else found[:2]) >= OVERLAP:
                 key = (i + r, item)
                 if key not in best or (score, -a) > (best[key][3], -best[key][2]):
                     best[key] = (i + r, item, a, score, *found)

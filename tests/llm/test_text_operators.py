@@ -290,6 +290,17 @@ def test_contamination_by_brute_force(spark, sf, odd_docs, no_docs):
     assert decontaminate.clean_documents(odd_docs, items).count() == odd_docs.count()
 
 
+def test_contamination_with_an_edited_short_answer(spark):
+    words = [f"w{i}" for i in range(60)]
+    question = " ".join(words[:40]) + "."
+    other = " ".join(words[40:]) + " " + " ".join(f"z{i}" for i in range(20))
+    items = spark.createDataFrame([(1, question + " Ñ."), (2, other + ". It is not so."), (3, other + ". a b c d e f g h i j")], "item_id long, text string")
+    texts = [question + " Ñ.", question + " Other words.", question, other + ". It was not so.", other + ".", " ".join(words[:25]) + " Ñ.", other + ". a b c d e k l m n o"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (6, 2)}
+
+
 def test_retrieval_is_exact(spark, sf):
     """Block-max retrieval finds what scoring every item finds."""
     rng = random.Random(4)
