@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from sparkloom.llm.batches import SPACED, slices, with_text_columns, words
-from sparkloom.llm.hashing import U64, PrefixHash, mix
+from sparkloom.llm.hashing import U64, mix, word_keys
 from sparkloom.llm.shingles import combine
 
 #: (least bytes, lowest ratio, highest ratio) of whole documents and of the last part of one: the least and
@@ -96,7 +96,7 @@ def quality(docs: DataFrame, *, text_col: str = "text", keep_text: bool = True,
             for i, j, data, offsets in slices(column):
                 rows = j - i
                 start, end, row = words(data, offsets, SPACED)
-                h = PrefixHash(data).spans(start, end)
+                h = word_keys(data, start, end)
                 n = np.bincount(row, minlength=rows)
                 repeat = repeated_window_words(h, row, rows, 5)
                 chars = _sums(SPACED[data] & ((data & 0xC0) != 0x80), offsets)

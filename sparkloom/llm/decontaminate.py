@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import ALNUM, slices, words
-from sparkloom.llm.hashing import U64, PrefixHash
+from sparkloom.llm.hashing import U64, word_keys
 from sparkloom.llm.shingles import combine
 from sparkloom.llm.store import bounded_batches
 
@@ -49,7 +49,7 @@ def _words(column: pa.Array):
     lowered = pc.utf8_lower(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
     for i, j, data, offsets in slices(lowered):
         start, end, row = words(data, offsets, ALNUM)
-        yield i, j, PrefixHash(data).spans(start, end), row
+        yield i, j, word_keys(data, start, end), row
 
 
 def hashed(texts: list[str]) -> list[np.ndarray]:

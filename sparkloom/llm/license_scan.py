@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkloom.llm.batches import ALNUM, LOWER, slices, with_text_columns, words
-from sparkloom.llm.hashing import PrefixHash
+from sparkloom.llm.hashing import word_keys
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The base labels: (label, phrase); a place counts where all words stand consecutively.
@@ -55,7 +55,7 @@ def word_list(text: str) -> list[str]:
 def _hashes(items: list[str]) -> np.ndarray:
     raw = np.frombuffer(" ".join(items).encode(), np.uint8)
     start, end, _ = words(raw, np.array([0, len(raw)]), ALNUM)
-    return PrefixHash(raw).spans(start, end)
+    return word_keys(raw, start, end)
 
 
 class Index:
@@ -128,7 +128,7 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", keep_text: bool =
             for i, j, data, offsets in slices(column):
                 low = LOWER[data]
                 start, end, row = words(low, offsets, ALNUM)
-                where, which = built.hits(PrefixHash(low).spans(start, end))
+                where, which = built.hits(word_keys(low, start, end))
                 bounds = np.searchsorted(row, np.arange(j - i + 1))
                 raw = low.tobytes()
                 by_row: dict[int, list[tuple[int, int]]] = defaultdict(list)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from sparkloom.llm.batches import LOWER, SPACED, slices, words
-from sparkloom.llm.hashing import U64, PrefixHash, mix
+from sparkloom.llm.hashing import U64, mix, word_keys
 
 _FACTORS = np.random.Generator(np.random.PCG64(0xC0FFEE)).integers(0, 1 << 63, 64, dtype=U64) * U64(2) + U64(1)
 
@@ -17,7 +17,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACE
     """(hash, row, start, end) of each lower-cased word."""
     low = LOWER[data]
     start, end, row = words(low, offsets, table)
-    return PrefixHash(low).spans(start, end), row, start, end
+    return word_keys(low, start, end), row, start, end
 
 
 def combine(h: np.ndarray, k: int) -> np.ndarray:

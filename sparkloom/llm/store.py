@@ -11,7 +11,7 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local session without one gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/sparkloom"
@@ -37,11 +37,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver delete the path when it ends: results may still read it until then."""
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: short lineage, exact sizes for AQE."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = fresh_path(spark, name)
+    delete_at_end(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -53,9 +65,8 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def row_ids(df: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFrame, bool]:

@@ -10,12 +10,15 @@ its group has one member or its whole group is known to be equal:
 2. The second digit is the run's whole context, all bytes that its windows cover.  A context that
    occurs twice makes every window of the run a repeated one.
 3. One run for each remaining distinct context goes on with its bytes.  Within a gram's group the
-   windows are radix-sorted, eight bytes a pass, until `length` bytes are compared; grams with
-   more than ``group_cap`` contexts take the same last pass by a 128-bit key of the window over
-   the whole cluster instead, so no group has to fit in one task.
-
-Grams and contexts are compared by 64-bit hashes each (128 bits together).  Skewed joins read
-written tables on both sides, so adaptive execution can split a hot gram.
+   windows are radix-sorted by blocks of ``anchor`` bytes (rounded down to a power of two) until
+   `length` bytes are compared.  The passes run within a task for a gram of up to ``group_cap``
+   contexts and over the cluster for others, so no group has to fit in one task; they compare the
+   same digits, so the cap changes no result.
+
+All digits are hashes; no bytes are compared after them.  A gram has 64 bits, and contexts and windows
+are held equal by two independent hashes of 64 bits of all their bytes: two that differ would be taken
+for equal with a chance of 2**-128.  Skewed joins read written tables on both sides, so adaptive
+execution can split a hot gram.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import slices
-from sparkloom.llm.hashing import U64, PrefixHash, sliding_min
+from sparkloom.llm.hashing import U64, BlockHash, sliding_min
 from sparkloom.llm.store import materialize, release, row_ids
 
 PIECE = 1 << 20
@@ -36,12 +39,12 @@ _POS = U64((1 << 24) - 1)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
-    """(row, gram hash, context hash, first start, last start, n) of each run; starts count within the row.
+    """(row, gram hash, two context hashes, first start, last start, n) of each run; starts count within the row.
 
     Runs that follow each other with the same gram and context (periodic text) are one with their number n.
     """
-    h1, h2 = PrefixHash(data, 0), PrefixHash(data, 1)
-    gram = h1.windows(anchor)
+    one, two = BlockHash(data, anchor, 0), BlockHash(data, anchor, 1)
+    gram = one.windows(anchor)
     least = sliding_min((gram & ~_POS) | np.arange(len(gram), dtype=U64), length - anchor + 1)
     at = (least & _POS).astype(np.int64)
     start = np.arange(len(at))
@@ -50,14 +53,14 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
     start, at, row = start[keep], at[keep], row[keep]
     if not len(start):
         z = np.zeros(0, np.int64)
-        return z, z.astype(U64), z.astype(U64), z, z, z
+        return z, z.astype(U64), z.astype(U64), z.astype(U64), z, z, z
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
     a, b = start[first], start[np.r_[first[1:] - 1, len(start) - 1]]
-    r, g, c = row[first], gram[at[first]], h2.spans(a, b + length)
-    head = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (r[1:] != r[:-1])])
+    r, g, c, d = row[first], gram[at[first]], one.spans(a, b + length), two.spans(a, b + length)
+    head = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (r[1:] != r[:-1])])
     n = np.diff(np.r_[head, len(r)])
     r, start = r[head], offsets[r[head]]
-    return r, g[head], c[head], a[head] - start, b[head + n - 1] - start, n
+    return r, g[head], c[head], d[head], a[head] - start, b[head + n - 1] - start, n
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -79,7 +82,7 @@ def _grams(length: int, anchor: int):
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(1)):
                 for part, off, _ in pieces(data, offsets, length):
-                    _, grams, _, _, _, n = runs(part, off, length, anchor)
+                    _, grams, _, _, _, _, n = runs(part, off, length, anchor)
                     if len(grams):
                         keys, which = np.unique(grams, return_inverse=True)
                         yield pa.record_batch([_long(keys), _long(np.bincount(which, n).astype(np.int64))], names=["gram", "n"])
@@ -93,11 +96,11 @@ def _rows(length: int, anchor: int):
             uid = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offsets in slices(batch.column(1)):
                 for part, off, base in pieces(data, offsets, length):
-                    r, g, c, a, b, n = runs(part, off, length, anchor)
+                    r, g, c, d, a, b, n = runs(part, off, length, anchor)
                     if len(r):
                         yield pa.record_batch(
-                            [_long(g), _long(c), _long(uid[i + r]), pa.array((a + base).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(n.astype(np.int32))],
-                            names=["gram", "context", "_uid", "a", "more", "n"],
+                            [_long(g), _long(c), _long(d), _long(uid[i + r]), pa.array((a + base).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(n.astype(np.int32))],
+                            names=["gram", "c1", "c2", "_uid", "a", "more", "n"],
                         )
 
     return go
@@ -125,26 +128,30 @@ def _contexts(length: int):
     return go
 
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray | None = None) -> np.ndarray:
+def digits(data: np.ndarray, starts: np.ndarray, length: int, anchor: int):
+    """The digits of the windows data[s:s+length], most significant first: blocks of the first hash,
+    then the second hash of the whole window.  The window of each index in `live` is asked for."""
+    one = BlockHash(data, anchor, 0)
+    places = [*range(0, length - one.block + 1, one.block), length - one.block]
+    for place in places if length % one.block else places[:-1]:
+        yield lambda live, place=place: one.at[starts[live] + place]
+    yield lambda live: BlockHash(data, anchor, 1).spans(starts[live], starts[live] + length)
+
+
+def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray | None = None, anchor: int = 64) -> np.ndarray:
     """Which windows data[s:s+length] occur at more than one of `starts` (of the same group): radix
-    passes of eight bytes, most significant first; a window leaves with its last companion."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    passes of a block each, most significant first; a window leaves with its last companion."""
     live = np.arange(len(starts))
     group = np.zeros(len(starts), np.int64) if group is None else group
-    for depth in range(0, length, 8):
-        at = starts[live] + min(depth, max(0, length - 8))
-        digit = np.ascontiguousarray(view[at]).view(">u8").ravel() if length >= 8 else None
-        if digit is None:
-            digit = np.array([int.from_bytes(data[s : s + length].tobytes(), "big") for s in starts[live]], U64)
-        order = np.lexsort((digit, group))
-        live, group, digit = live[order], group[order], digit[order].astype(U64)
-        new = np.r_[True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])] if len(live) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        many = np.bincount(group, minlength=1)[group] > 1 if len(live) else new
-        live, group = live[many], group[many]
+    for digit_of in digits(data, starts, length, min(anchor, length)):
         if not len(live):
             break
+        digit = digit_of(live)
+        order = np.lexsort((digit, group))
+        live, group, digit = live[order], group[order], digit[order]
+        group = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])]) - 1
+        many = np.bincount(group)[group] > 1
+        live, group = live[many], group[many]
     found = np.zeros(len(starts), bool)
     found[live] = True
     return found
@@ -176,13 +183,13 @@ def _span_batch(uid, s, e) -> pa.Table:
     return pa.table([_long(uid), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["_uid", "s", "e"])
 
 
-def _refine(length: int):
+def _refine(length: int, anchor: int):
     """Rows sorted by gram; whole groups are compared together, about a slice of windows at a time."""
 
     def solve(table: pa.Table) -> pa.Table:
         data, starts, row, at = _windows_of(table, length)
         gram = np.unique(table.column("gram").to_numpy(), return_inverse=True)[1]
-        hit = repeated_starts(data, starts, length, gram[row])
+        hit = repeated_starts(data, starts, length, gram[row], anchor)
         hit &= table.column("alone").to_numpy()[row]
         return _span_batch(*_stretches(table.column("_uid").to_numpy()[row[hit]], at[hit], length))
 
@@ -209,7 +216,7 @@ def _refine(length: int):
     return go
 
 
-def _window_keys(length: int):
+def _window_keys(length: int, anchor: int):
     def go(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -218,8 +225,9 @@ def _window_keys(length: int):
                 part = pa.Table.from_batches([batch.slice(i, 2048)])
                 data, starts, row, at = _windows_of(part, length)
                 uid, alone = part.column("_uid").to_numpy()[row], part.column("alone").to_numpy()[row]
+                w1, w2 = (BlockHash(data, anchor, kind).spans(starts, starts + length) for kind in (0, 1))
                 yield pa.record_batch(
-                    [_long(PrefixHash(data, 0).spans(starts, starts + length)), _long(PrefixHash(data, 1).spans(starts, starts + length)), _long(uid), pa.array(at.astype(np.int32)), pa.array(alone)],
+                    [_long(w1), _long(w2), _long(uid), pa.array(at.astype(np.int32)), pa.array(alone)],
                     names=["w1", "w2", "_uid", "s", "alone"],
                 )
 
@@ -245,13 +253,13 @@ def repeated_spans(rows: DataFrame, length: int = 200, anchor: int = 64, group_c
         rows.mapInArrow(_grams(length, anchor), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams"
     )
     found = materialize(
-        rows.mapInArrow(_rows(length, anchor), "gram long, context long, _uid long, a int, more int, n int").join(grams.hint("merge"), "gram"), "runs"
+        rows.mapInArrow(_rows(length, anchor), "gram long, c1 long, c2 long, _uid long, a int, more int, n int").join(grams.hint("merge"), "gram"), "runs"
     )
     release(grams)
     contexts = materialize(
-        found.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct("_uid", "a", "more")).alias("one")), "contexts"
+        found.groupBy("gram", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("_uid", "a", "more")).alias("one")), "contexts"
     )
-    equal = found.join(contexts.where("n > 1").select("gram", "context").hint("merge"), ["gram", "context"]).select(
+    equal = found.join(contexts.where("n > 1").select("gram", "c1", "c2").hint("merge"), ["gram", "c1", "c2"]).select(
         "_uid", F.col("a").alias("s"), (F.col("a") + F.col("more") + length).alias("e")
     )
     mixed = materialize(
@@ -267,8 +275,8 @@ def repeated_spans(rows: DataFrame, length: int = 200, anchor: int = 64, group_c
         rows.join(lists.hint("merge"), "_uid").mapInArrow(_contexts(length), "gram long, size long, _uid long, a int, alone boolean, bytes binary"), "opened"
     )
     release(mixed)
-    small = opened.where(F.col("size") <= group_cap).repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine(length), _SPAN)
-    windows = opened.where(F.col("size") > group_cap).mapInArrow(_window_keys(length), "w1 long, w2 long, _uid long, s int, alone boolean")
+    small = opened.where(F.col("size") <= group_cap).repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine(length, anchor), _SPAN)
+    windows = opened.where(F.col("size") > group_cap).mapInArrow(_window_keys(length, anchor), "w1 long, w2 long, _uid long, s int, alone boolean")
     twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "windows")
     large = windows.where("alone").join(twice.hint("merge"), ["w1", "w2"]).select("_uid", "s").mapInArrow(_join_windows(length), _SPAN)
     packed = F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long"))
@@ -338,15 +346,15 @@ def remove_repeats(
     separate documents.  Other columns pass through; columns named like the three results are
     replaced.
     """
-    docs = docs.drop("n_removed", "n_spans", "kept_sha256", "kept_text")
-    others = [c for c in docs.columns if c != text_col]
-    packed = docs.select(id_col, F.col(text_col).alias("text"), F.struct(*others).alias("_row"))
-    ids, _ = row_ids(packed.withColumnRenamed(id_col, "_id"), "_id", ["text", "_row"])
+    results = ("n_removed", "n_spans", "kept_sha256")
+    names = [c for c in docs.columns if c not in results]
+    packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("_row"))
+    ids, _ = row_ids(packed, "_id", ["text", "_row"])
     spans = repeated_spans(ids.select("_uid", "text"), length, anchor, group_cap)
     schema = packed.select("_row").schema
     out = schema.add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if whole_characters:
         out = out.add("kept_text", "string")
     done = ids.join(spans.hint("merge"), "_uid", "left").select("_row", "text", "spans").mapInArrow(_apply(whole_characters), out)
-    columns = [F.col(f"_row.`{c}`").alias(c) if c != text_col else F.col("kept_text").alias(c) for c in docs.columns if c != text_col or whole_characters]
-    return done.select(*columns, "n_removed", "n_spans", "kept_sha256")
+    columns = [F.col(f"_row.`{c}`").alias(c) if c != text_col else F.col("kept_text").alias(c) for c in names if c != text_col or whole_characters]
+    return done.select(*columns, *results)

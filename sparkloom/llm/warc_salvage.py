@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import fresh_path, materialize
+from sparkloom.llm.store import delete_at_end, fresh_path, materialize
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -295,5 +295,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write the pages as archives in the shared folder and read all records back."""
     path = fresh_path(pages.sparkSession, "warc")
+    delete_at_end(pages.sparkSession, path)
     write_archives(pages, path, **options)
     return read_archives(pages.sparkSession, path)

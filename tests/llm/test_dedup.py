@@ -59,11 +59,34 @@ def test_very_long_text_in_pieces(spark, monkeypatch):
     text += text[1000:1500] + "x" + text[2000:2300]
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     data = np.frombuffer(text.encode(), np.uint8)
-    found = [(base + a, base + b) for part, off, base in suffix_dedup.pieces(data, np.array([0, len(data)]), 200) for _, _, _, a, b, _ in zip(*suffix_dedup.runs(part, off, 200, 64), strict=True)]
+    found = [(base + a, base + b) for part, off, base in suffix_dedup.pieces(data, np.array([0, len(data)]), 200) for _, _, _, _, a, b, _ in zip(*suffix_dedup.runs(part, off, 200, 64), strict=True)]
     starts = sorted(s for a, b in found for s in range(a, b + 1))
     assert starts == list(range(len(text) - 199))
 
 
+def thue_morse(n, a, b):
+    """A text and its complement: every polynomial over the bytes modulo a power of two takes them for equal."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_structured_texts_stay_apart(spark):
+    pairs = [t for n in (1024, 4096) for a, b in (("a", "b"), ("abcdefgh", "ijklmnop")) for t in thue_morse(n, a, b)]
+    rows = list(enumerate(pairs))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {i: i for i, _ in rows}
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute_repeats(pairs, 200)))
+
+
+def test_names_with_dots_and_inner_names(spark):
+    df = spark.createDataFrame([(1, "x" * 300, "k", 5)], "`doc.id` long, `text.a` string, kept_text string, `b.c` int")
+    out = remove_repeats(df, id_col="doc.id", text_col="text.a", whole_characters=True)
+    assert out.columns == ["doc.id", "text.a", "kept_text", "b.c", "n_removed", "n_spans", "kept_sha256"]
+    assert [(r[0], r[2], r[3], r.n_removed) for r in out.collect()] == [(1, "k", 5, 300)]
+    assert keep_one(df, id_col="doc.id", text_col="text.a").collect() == df.collect()
+
+
 def test_periodic_texts(spark):
     texts = ["Aningti " * 300, "Aningti " * 20 + "end", "ab" * 150, "xyz" * 66 + "xy", "q" * 199, "q" * 200, "q" * 201 + "Aningti " * 26]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -76,6 +99,12 @@ def test_radix_passes():
     starts = np.arange(len(data) - 7)
     want = collections.Counter(bytes(data[s : s + 8]) for s in starts)
     assert repeated_starts(data, starts, 8).tolist() == [want[bytes(data[s : s + 8])] > 1 for s in starts]
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    for length, anchor in ((3, 1), (13, 5), (16, 8), (21, 16), (24, 24)):
+        starts = np.arange(len(data) - length + 1)
+        want = collections.Counter(bytes(data[s : s + length]) for s in starts)
+        assert repeated_starts(data, starts, length, anchor=anchor).tolist() == [want[bytes(data[s : s + length])] > 1 for s in starts]
 
 
 def shingles(text, k):
