@@ -5,13 +5,20 @@ bigram models with one vocabulary, one order and one smoothing, so their losses
 they were counted on.  A document's score is its mean loss per token under the target model less
 that under the background model: negative means closer to the target.
 
-Counts cover every document.  They are kept in two folds by a hash of the id, and a document is
-scored by the models of the fold that it is not in, so no document lowers its own loss.
-
-Every word and every bigram has its own count (by 64-bit hashes) in tables that grow with the corpus.
-A loss is a sum over a document's words and bigrams of what each adds to the loss of an unseen word,
-and a bigram adds nothing unless both folds have it.  Only what the ``cells`` most frequent words and
-bigrams add goes to the tasks; everything else is joined, so no key of that join is frequent.
+Counts are exact, of every word and every bigram of the whole corpus.  A document is scored by the
+counts of all other documents: what it holds itself is taken off, so no document lowers its own loss
+while a copy of it elsewhere does.  A loss is a sum over a document's words and bigrams of what each
+adds to the loss of an unseen word, and a word or bigram of one document alone adds nothing.
+
+* Words get whole counts first; the ``1 << BITS`` most frequent ones and the frequent bigrams are sent to
+  the tasks (a fixed size), which add up what these contribute.  A bigram is frequent if it has half
+  of ``SHARE`` of all tokens counting only batches where it has that share (and ``LEAST`` occurrences),
+  so there are at most ``2 / SHARE`` and no other has more than SHARE of all tokens and LEAST a batch.
+* Every other word and bigram goes, once per document, to the task of its key, where a window adds the
+  whole counts; only what another document also holds is kept, meets the counts of its two words and
+  is summed by document.  No key of that shuffle is frequent, and what is shuffled grows with the corpus.
+
+What is sent to the tasks decides where a sum is made, never its result.
 """
 
 from __future__ import annotations
@@ -21,198 +28,325 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import slices
 from sparkloom.llm.hashing import U64, mix
 from sparkloom.llm.shingles import word_hashes
-from sparkloom.llm.store import bounded_batches, materialize, release, row_ids
+from sparkloom.llm.store import bounded_batches, materialize, row_ids
 
-CELLS, WEIGHT, ADD = 1 << 19, 0.7, 0.5
+WEIGHT, ADD = 0.7, 0.5
+#: Bits of a frequent word's number; the share of all tokens that makes a bigram frequent, and its least count in a batch.
+BITS, SHARE, LEAST = 18, 2.0**-17, 8
+#: Ids of target documents that are broadcast at most (8 bytes each); more are joined by a shuffle.
+MARKS = 1 << 20
 #: Losses are added as integers of this scale, so sums don't depend on the order.
 SCALE = 1 << 32
-COUNTS = ("t0", "n0", "t1", "n1")
+GOOD, COUNTED, SCORED = 1, 2, 4
 
 
-def fold_of(id_col: str):
-    """0 or 1 by a hash of the id; null ids are in fold 0."""
-    return F.coalesce(F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(2)), F.lit(0)).cast("int")
+@dataclass
+class Part:
+    """A slice of texts: tokens of each row; each word of a row with its count, whether the row ends with
+    it, and its number among the frequent ones (or -1); each bigram of a row as two of these words."""
+
+    first: int
+    size: np.ndarray
+    row: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+    last: np.ndarray
+    number: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    pairs: np.ndarray
+
+
+def _number(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, -1)
+
+
+def parts(column: pa.Array, known: np.ndarray):
+    for i, j, data, offsets in slices(column):
+        h, row, _, _ = word_hashes(data, offsets)
+        order = np.lexsort((h, row))
+        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])][: len(h)]
+        own = np.empty(len(h), np.int64)
+        own[order] = np.cumsum(new) - 1
+        words = order[new]
+        same = row[1:] == row[:-1]
+        inside = np.flatnonzero(same)
+        ends = np.r_[np.flatnonzero(~same), len(h) - 1] if len(h) else inside
+        key, pairs = np.unique(own[inside] * len(words) + own[inside + 1], return_counts=True)
+        left, right = np.divmod(key, max(1, len(words)))
+        yield Part(
+            i, np.bincount(row, minlength=j - i), row[words] + i, h[words], np.bincount(own, minlength=len(words)), np.bincount(own[ends], minlength=len(words)),
+            _number(h[words], known), left, right, pairs,
+        )
+
+
+def _grouped(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first place of each key, sums of the values)."""
+    if not len(key):
+        return (np.zeros(0, np.int64), *values)
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    return (order[start], *(np.add.reduceat(v[order], start) for v in values))
 
 
-def _pair_key(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(mix(previous) * U64(0x9E3779B97F4A7C15) + word)
+def _joined(arrays: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([*arrays, np.zeros(0, kind)])
 
 
-def _word_key(word: np.ndarray, last) -> np.ndarray:
-    """The key of a word before another one, or at the end of its document."""
-    return mix(word ^ np.where(last, U64(0xA24BAED4963EE407), U64(0x8CB92BA72F3D8DD7)))
+def _flags(batch) -> np.ndarray:
+    return batch.column("flags").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _tokens(column: pa.Array, known: np.ndarray | None):
-    """(first row, last row, word hashes, row); 0 is a word that is not known."""
-    for i, j, data, offsets in slices(column):
-        h, row, _, _ = word_hashes(data, offsets)
-        if known is not None:
-            h = np.where(np.isin(h, known), h, U64(0))
-        yield i, j, h, row
+def _counts(share: float, least: int):
+    """(kind, x, y, n, t): whole counts of the words of a batch (kind 0), and its frequent bigrams (1)."""
+    none = np.zeros(0, U64)
 
+    def go(batches):
+        for batch in batches:
+            good = _flags(batch) & GOOD
+            words, pairs = [], []
+            for p in parts(batch.column("text"), none):
+                words.append((p.word, p.n, p.n * good[p.row]))
+                pairs.append((p.word[p.left], p.word[p.right], p.pairs))
+            h, n, t = (_joined([w[k] for w in words], kind) for k, kind in enumerate((U64, np.int64, np.int64)))
+            least_here = max(least, math.ceil(int(n.sum()) * share / 2))
+            at, n, t = _grouped(h, n, t)
+            x, y, m = (_joined([w[k] for w in pairs], kind) for k, kind in enumerate((U64, U64, np.int64)))
+            with np.errstate(over="ignore"):
+                one, m = _grouped(mix(x) * U64(0x9E3779B97F4A7C15) + y, m)
+            one, m = one[m >= least_here], m[m >= least_here]
+            columns = [np.r_[np.zeros(len(at), np.int64), np.ones(len(one), np.int64)], np.r_[h[at], x[one]].view(np.int64), np.r_[np.zeros(len(at), U64), y[one]].view(np.int64), np.r_[n, m], np.r_[t, np.zeros(len(one), np.int64)]]
+            yield pa.record_batch([pa.array(columns[0].astype(np.int32)), *(pa.array(c.astype(np.int64, copy=False)) for c in columns[1:])], names=["kind", "x", "y", "n", "t"])
+
+    return go
 
-def _counted(key: np.ndarray, target: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """(first place of each key, its COUNTS)."""
-    if not len(key):
-        return np.zeros(0, np.int64), [pa.array([], pa.int64())] * 4
-    order = np.argsort(key, kind="stable")
-    start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    target, fold = target[order], fold[order]
-    masks = [(fold == f) & (target if k else True) for f in range(2) for k in (1, 0)]
-    return order[start], [pa.array(np.add.reduceat(m.astype(np.int64), start)) for m in masks]
 
+@dataclass
+class Frequent:
+    """What the tasks hold: counts of the most frequent words by number, of frequent bigrams by code, and totals."""
+
+    words: np.ndarray
+    n: np.ndarray
+    t: np.ndarray
+    codes: np.ndarray
+    codes_n: np.ndarray
+    codes_t: np.ndarray
+    totals: tuple[int, int]
+    distinct: int
+
+    def code(self, p: Part) -> np.ndarray:
+        """The code of each bigram; -1 if one of its words is not frequent."""
+        a, b = p.number[p.left], p.number[p.right]
+        return np.where((a >= 0) & (b >= 0), a << BITS | b, -1)
+
+    def lookup(self, code: np.ndarray) -> np.ndarray:
+        return np.where(code >= 0, _number(code, self.codes), -1)
+
+    def sums(self, p: Part, flags: np.ndarray, rows: int) -> np.ndarray:
+        """(2, rows): losses under both models, of unseen words and of what frequent words and bigrams add."""
+        out = np.zeros((2, rows))
+        counted = (flags & COUNTED) > 0
+        code = self.code(p)
+        at = self.lookup(code)
+        hot = np.flatnonzero(at >= 0)
+        a, b = p.left[hot], p.right[hot]
+        w = np.flatnonzero(p.number >= 0)
+        for k, (words, codes) in enumerate(((self.t, self.codes_t), (self.n, self.codes_n))):
+            own = (counted & ((flags & GOOD) > 0) if k == 0 else counted).astype(np.int64)
+            size = self.totals[k] - own[p.first : p.first + len(p.size)] * p.size + ADD * (self.distinct + 1)
+            out[k, p.first : p.first + len(p.size)] += p.size * np.log(size / ADD)
+            rest = words[p.number[w]] - own[p.row[w]] * p.n[w]
+            np.add.at(out[k], p.row[w], -p.n[w] * np.log1p(rest / ADD) - (rest > 0) * (p.n[w] - p.last[w]) * math.log(1 - WEIGHT))
+            row = p.row[a]
+            pair = codes[at[hot]] - own[row] * p.pairs[hot]
+            before, single = words[p.number[a]] - own[row] * p.n[a], words[p.number[b]] - own[row] * p.n[b]
+            odds = WEIGHT / (1 - WEIGHT) * pair / np.maximum(before, 1) * size[row - p.first] / (single + ADD)
+            np.add.at(out[k], row, -p.pairs[hot] * np.log1p(odds))
+        return out
+
+
+def _hot(shared):
+    """(at, n, t): whole counts of the frequent bigrams of a batch, by place."""
+
+    def go(batches):
+        model = shared.value
+        for batch in batches:
+            good, found = _flags(batch) & GOOD, []
+            for p in parts(batch.column("text"), model.words):
+                at = model.lookup(model.code(p))
+                here = np.flatnonzero(at >= 0)
+                found.append((at[here], p.pairs[here], p.pairs[here] * good[p.row[p.left[here]]]))
+            at, n, t = (_joined([f[k] for f in found], np.int64) for k in range(3))
+            one, n, t = _grouped(at, n, t)
+            yield pa.record_batch([pa.array(at[one].astype(np.int64)), pa.array(n), pa.array(t)], names=["at", "n", "t"])
+
+    return go
 
-def _counts(rows: DataFrame, known, pairs: bool) -> DataFrame:
-    """COUNTS of each word, or of each (previous, word), over (text, good, fold)."""
-    shared = rows.sparkSession.sparkContext.broadcast(known)
-    names = ["previous", "word"] if pairs else ["word"]
 
+def _near(shared):
     def go(batches):
+        model = shared.value
         for batch in batches:
-            target, folds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-            parts = [(h, row + i) for i, _, h, row in _tokens(batch.column(0), shared.value)]
-            h, row = (np.concatenate([*(p[k] for p in parts), np.zeros(0, kind)]) for k, kind in ((0, U64), (1, np.int64)))
-            if pairs:
-                inside = np.flatnonzero(row[1:] == row[:-1])
-                columns, row = [h[inside], h[inside + 1]], row[inside]
-            else:
-                columns = [h]
-            at, counts = _counted(_pair_key(*columns) if pairs else h, target.astype(bool)[row], folds[row])
-            yield pa.record_batch([*(pa.array(c[at].view(np.int64)) for c in columns), *counts], names=[*names, *COUNTS])
+            flags, n, loss = _flags(batch), np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows))
+            for p in parts(batch.column("text"), model.words):
+                n[p.first : p.first + len(p.size)] = p.size
+                loss += model.sums(p, flags, batch.num_rows)
+            yield pa.record_batch([batch.column("_uid"), pa.array(n), *(pa.array(np.rint(x * SCALE).astype(np.int64)) for x in loss)], names=["_uid", "n", "t", "b"])
 
-    found = rows.mapInArrow(go, ", ".join(f"{c} long" for c in [*names, *COUNTS]))
-    return found.groupBy(*names).agg(*(F.sum(c).alias(c) for c in COUNTS))
+    return go
 
 
-@dataclass
-class PairedModels:
-    """What words and bigrams add to the loss of an unseen word, by the fold counted on.
+_OWN = "_uid long, flags int, n int, a int, b int, c int"
 
-    table: (key, n, t0, n0, t1, n1) of all of them; keys and added: those with n >= least;
-    unseen: the loss of an unseen word, by fold and model.
-    """
 
-    table: DataFrame
-    keys: np.ndarray
-    added: np.ndarray
-    least: int
-    unseen: list[list[float]]
-    known: np.ndarray | None
-
-
-def _keyed(batches):
-    """(previous, word, last, n, COUNTS) with a key in place of the first three."""
-    for batch in batches:
-        previous, word = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for k in range(2))
-        kind = batch.column(2).to_numpy(zero_copy_only=False)
-        key = np.where(kind == 2, _pair_key(previous, word), _word_key(word, kind == 1))
-        yield pa.record_batch([pa.array(key.view(np.int64)), *batch.columns[3:]], names=["key", "n", *COUNTS])
-
-
-def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, cells: int = CELLS) -> PairedModels:
-    """Count both models of both folds; `good` has the ids of the target documents in a column named
-    like id_col.  With a vocabulary, all but its vocabulary - 1 most frequent words are one unknown
-    word; without one, every word counts.  `cells` bounds what goes to the tasks and changes no result."""
-    bounded_batches(docs.sparkSession)
-    marks = good.select(F.col(f"`{id_col}`").alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(marks.hint("merge"), "_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"), fold_of("_id").alias("fold"))
-    known, words = None, materialize(_counts(rows, None, False), "words")
-    if vocabulary is not None:
-        top = words.orderBy(F.desc(F.expr("n0 + n1")), "word").limit(vocabulary - 1).toArrow()
-        release(words)
-        known = np.sort(top.column("word").to_numpy().astype(np.int64).view(U64))
-        words = materialize(_counts(rows, known, False), "words")
-    distinct, *totals = words.agg(F.count_if(F.lit(True) if known is None else F.col("word") != 0), *(F.coalesce(F.sum(c), F.lit(0)) for c in COUNTS)).first()
-    sizes = [n + ADD * (distinct + 1) for n in totals]
-    pairs = materialize(_counts(rows, known, True).where("n0 > 0 and n1 > 0"), "pairs")
-
-    def fixed(x):
-        return F.round(x * SCALE).cast("long")
-
-    history = words.select(F.col("word").alias("previous"), *(F.col(c).alias(f"h_{c}") for c in COUNTS)).hint("merge")
-    single = words.select("word", *(F.col(c).alias(f"s_{c}") for c in COUNTS)).hint("merge")
-    odds = [F.when(F.col(c) > 0, F.col(c) / F.col(f"h_{c}") * (WEIGHT / (1 - WEIGHT)) * size / (F.col(f"s_{c}") + ADD)).otherwise(0.0) for c, size in zip(COUNTS, sizes, strict=True)]
-    of_pairs = pairs.join(history, "previous").join(single, "word").select("previous", "word", F.lit(2).alias("kind"), F.expr("n0 + n1").alias("n"), *(fixed(-F.log1p(x)).alias(c) for x, c in zip(odds, COUNTS, strict=True)))
-    of_words = words.select(F.lit(0).cast("long").alias("previous"), "word", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"), F.expr("n0 + n1").alias("n"), *COUNTS)
-    of_words = of_words.select("previous", "word", "kind", "n", *(fixed(-F.log1p(F.col(c) / ADD) - F.when((F.col("kind") == 0) & (F.col(c) > 0), math.log(1 - WEIGHT)).otherwise(0.0)).alias(c) for c in COUNTS))
-    table = materialize(of_pairs.unionByName(of_words).mapInArrow(_keyed, ", ".join(f"{c} long" for c in ["key", "n", *COUNTS])), "losses")
-    release(words, pairs)
-
-    least, room = 1 << 62, cells
-    step = F.floor(F.log2("n") * 8)
-    for _, many, low in sorted(table.groupBy(step.alias("step")).agg(F.count("*"), F.min("n")).collect(), reverse=True):
-        room -= many
-        if room < 0:
-            break
-        least = low
-    top = table.where(F.col("n") >= least).toArrow()
-    keys = top.column("key").to_numpy().astype(np.int64).view(U64)
-    order = np.argsort(keys)
-    added = np.array([top.column(c).to_numpy()[order] for c in COUNTS], np.int64).reshape(4, len(keys))
-    unseen = [[math.log(sizes[2 * f + k] / ADD) for k in range(2)] for f in range(2)]
-    return PairedModels(table, keys[order], added, least, unseen, known)
-
-
-def score(docs: DataFrame, models: PairedModels, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def _own(batch, p: Part, row, n, a, b) -> list[pa.Array]:
+    """The columns of _OWN: the row and its own counts of the key, of both words, and of all tokens."""
+    return [batch.column("_uid").take(pa.array(row)), pa.array(_flags(batch)[row].astype(np.int32)), *(pa.array(x.astype(np.int32)) for x in (n, a, b, p.size[row - p.first]))]
+
+
+def _far(shared):
+    """Bigrams of two frequent words that are not frequent themselves."""
+
+    def go(batches):
+        model = shared.value
+        for batch in batches:
+            for p in parts(batch.column("text"), model.words):
+                code = model.code(p)
+                k = np.flatnonzero((code >= 0) & (model.lookup(code) < 0))
+                row = p.row[p.left[k]]
+                yield pa.record_batch([pa.array(code[k]), *_own(batch, p, row, p.pairs[k], p.n[p.left[k]], p.n[p.right[k]])], names=["code", "_uid", "flags", "n", "a", "b", "c"])
+
+    return go
+
+
+def _rare(shared):
+    """Words that are not frequent (kind 0; a says that the row ends with it) and bigrams with one (1)."""
+
+    def go(batches):
+        model = shared.value
+        for batch in batches:
+            for p in parts(batch.column("text"), model.words):
+                w, k = np.flatnonzero(p.number < 0), np.flatnonzero(model.code(p) < 0)
+                kind = np.r_[np.zeros(len(w), np.int32), np.ones(len(k), np.int32)]
+                x, y = np.r_[p.word[w], p.word[p.left[k]]], np.r_[np.zeros(len(w), U64), p.word[p.right[k]]]
+                own = _own(batch, p, np.r_[p.row[w], p.row[p.left[k]]], np.r_[p.n[w], p.pairs[k]], np.r_[p.last[w], p.n[p.left[k]]], np.r_[np.zeros(len(w), np.int64), p.n[p.right[k]]])
+                yield pa.record_batch([pa.array(kind), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), *own], names=["kind", "x", "y", "_uid", "flags", "n", "a", "b", "c"])
+
+    return go
+
+
+def _flag(bit: int):
+    return F.col("flags").bitwiseAND(bit) > 0
+
+
+def _rest(rows: DataFrame, *key: str) -> DataFrame:
+    """rows of _OWN to score, with rest_t and rest_n: what the other documents hold of the key; none, no row."""
+    over = Window.partitionBy(*key)
+    mine = {"t": F.when(_flag(COUNTED) & _flag(GOOD), F.col("n")).otherwise(0), "n": F.when(_flag(COUNTED), F.col("n")).otherwise(0)}
+    return rows.select("*", *((F.sum(x).over(over) - x).alias(f"rest_{k}") for k, x in mine.items())).where(_flag(SCORED) & (F.col("rest_n") > 0))
+
+
+def _fixed(x):
+    return F.round(x * SCALE).cast("long")
+
+
+def _pair_losses(rows: DataFrame, model: Frequent) -> DataFrame:
+    """(_uid, t, b) of bigrams with rest_*, and whole counts of both words in p_* and w_*."""
+    out = []
+    for k, c in enumerate("tn"):
+        own = F.when(_flag(COUNTED) & _flag(GOOD) if c == "t" else _flag(COUNTED), 1).otherwise(0)
+        size = F.lit(model.totals[k] + ADD * (model.distinct + 1)) - own * F.col("c")
+        odds = WEIGHT / (1 - WEIGHT) * F.col(f"rest_{c}") / F.greatest(F.col(f"p_{c}") - own * F.col("a"), F.lit(1)) * size / (F.col(f"w_{c}") - own * F.col("b") + ADD)
+        out.append(_fixed(-F.col("n") * F.log1p(odds)))
+    return rows.select("_uid", F.lit(0).cast("long").alias("n"), out[0].alias("t"), out[1].alias("b"))
+
+
+def _word_losses(rows: DataFrame) -> DataFrame:
+    added = [-F.col("n") * F.log1p(F.col(f"rest_{c}") / ADD) - F.when(F.col(f"rest_{c}") > 0, (F.col("n") - F.col("a")) * math.log(1 - WEIGHT)).otherwise(0.0) for c in "tn"]
+    return rows.select("_uid", F.lit(0).cast("long").alias("n"), _fixed(added[0]).alias("t"), _fixed(added[1]).alias("b"))
+
+
+def _marked(rows: DataFrame, good: DataFrame, id_col: str) -> DataFrame:
+    """(_uid, text, flags) with GOOD for the ids of `good`."""
+    marks = materialize(good.select(F.col(f"`{id_col}`").alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(GOOD)), "marks")
+    few = marks.count() <= MARKS
+    out = rows.join(F.broadcast(marks) if few else marks.hint("merge"), "_id", "left")
+    out = out.select("_uid", "text", F.col("flags").bitwiseOR(F.coalesce("_good", F.lit(0))).alias("flags"))
+    return out if few else materialize(out, "marked")
+
+
+def _frequent(texts: DataFrame, bits: int, share: float, least: int) -> tuple[Frequent, DataFrame]:
+    """(what the tasks hold, whole counts (word, n, t) of all words)."""
+    spark, schema = texts.sparkSession, "kind int, x long, y long, n long, t long"
+    counts = materialize(texts.mapInArrow(_counts(share, least), schema).groupBy("kind", "x", "y").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "counts")
+    words = counts.where("kind = 0").select(F.col("x").alias("word"), "n", "t")
+    distinct, n, t = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    top = words.orderBy(F.desc("n"), "word").limit(1 << bits).toArrow()
+    known = top.column("word").to_numpy().astype(np.int64).view(U64)
+    order = np.argsort(known)
+    often = counts.where("kind = 1").where(F.col("n") >= n * share / 2).select("x", "y").toArrow()  # 2 / share rows at most
+    x, y = (_number(often.column(c).to_numpy().astype(np.int64).view(U64), known[order]) for c in "xy")
+    codes = np.unique((x << BITS | y)[(x >= 0) & (y >= 0)])
+    none = np.zeros(len(codes), np.int64)
+    model = Frequent(known[order], *(top.column(c).to_numpy().astype(np.int64)[order] for c in "nt"), codes, none, none.copy(), (t, n), distinct)
+    shared = spark.sparkContext.broadcast(model)
+    for at, a, b in texts.mapInArrow(_hot(shared), "at long, n long, t long").groupBy("at").agg(F.sum("n"), F.sum("t")).toArrow().to_pandas().itertuples(index=False):
+        model.codes_n[at], model.codes_t[at] = a, b
+    shared.destroy()
+    return model, words
+
+
+def score(
+    docs: DataFrame, good: DataFrame, *, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, bits: int = BITS, share: float = SHARE, least: int = LEAST
+) -> DataFrame:
     """docs with n_tokens long, target_loss, background_loss and difference (double).
 
-    Texts without words (null, empty, blank) have 0 tokens and null losses.  Rows are independent,
-    so repeated rows get equal results; an empty table gives an empty one; columns named like a
-    result are replaced.
+    Words are split at ASCII white space, A-Z lower-cased.  `good` has the ids of the target documents in
+    a column named like id_col.  Each document is scored by the counts of all others; with a `corpus`
+    (id_col and text_col), by those of the whole corpus, and docs are not counted.  Texts without words
+    (null, empty, blank) have 0 tokens and null losses.  A null id is never a target.  Rows that repeat
+    an id are separate documents (all targets, if the id is one), and each sees the others; an empty
+    table gives an empty one; columns named like a result are replaced.  `bits`, `share` and `least`
+    decide what is sent to the tasks and change no result.
     """
-    bounded_batches(docs.sparkSession)
+    if bits > BITS:
+        raise ValueError(f"bits is {BITS} at most")
+    spark = docs.sparkSession
+    bounded_batches(spark)
     results = ("n_tokens", "target_loss", "background_loss", "difference")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results])
-    others = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{text_col}`").alias("_text"), fold_of(id_col).alias("_fold"))
-    rows, _ = row_ids(packed, "_id", ["_row", "_text", "_fold"])
-    shared = docs.sparkSession.sparkContext.broadcast((models.keys, models.added, models.known))  # `cells` rows at most
-
-    def found(batch):
-        """(first row, last row, row of each word and bigram, its key, its place in keys, whether it is there)."""
-        keys, _, known = shared.value
-        for i, j, h, row in _tokens(batch.column(2), known):
-            last = np.r_[row[1:] != row[:-1], True] if len(row) else np.zeros(0, bool)
-            pair = np.flatnonzero(~last)
-            key = np.concatenate([_word_key(h, last), _pair_key(h[pair], h[pair + 1])])
-            one, back = np.unique(key, return_inverse=True)
-            at = np.minimum(np.searchsorted(keys, one), max(len(keys) - 1, 0))
-            here = keys[at] == one if len(keys) else np.zeros(len(one), bool)
-            yield i, j, row, np.r_[row, row[pair]], key, at[back], here[back]
-
-    def near(batches):
-        added = shared.value[1]
-        for batch in batches:
-            fold = batch.column(1).to_numpy(zero_copy_only=False)
-            n, loss = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows), np.int64)
-            for i, j, row, every, _, at, here in found(batch):
-                n[i:j] = np.bincount(row, minlength=j - i)
-                every, at = every[here], at[here]
-                for k in range(2):
-                    np.add.at(loss[k], every + i, added[2 * (1 - fold[every + i]) + k, at])
-            yield pa.record_batch([batch.column(0), pa.array(n), *(pa.array(x) for x in loss)], names=["_uid", "n", "t", "b"])
-
-    def far(batches):
-        for batch in batches:
-            uid, fold = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-            for i, _, _, every, key, _, here in found(batch):
-                every = every[~here] + i
-                yield pa.record_batch([pa.array(key[~here].view(np.int64)), pa.array(uid[every]), pa.array(fold[every].astype(np.int32))], names=["key", "_uid", "fold"])
-
-    texts = rows.select("_uid", "_fold", "_text")
-    rest = models.table.where(F.col("n") < models.least).drop("n").hint("merge")
-    joined = texts.mapInArrow(far, "key long, _uid long, fold int").join(rest, "key")
-    joined = joined.select("_uid", F.lit(0).cast("long").alias("n"), *(F.when(F.col("fold") == 0, F.col(f"{c}1")).otherwise(F.col(f"{c}0")).alias(k) for c, k in (("t", "t"), ("n", "b"))))
-    sums = texts.mapInArrow(near, "_uid long, n long, t long, b long").unionByName(joined).groupBy("_uid").agg(*(F.sum(c).alias(c) for c in "ntb"))
-    out = rows.select("_uid", "_row", "_fold", *(["_text"] if keep_text else [])).join(sums.hint("merge"), "_uid")
-    losses = [F.when(F.col("n") > 0, F.when(F.col("_fold") == 0, models.unseen[1][k]).otherwise(models.unseen[0][k]) + F.col(c) / SCALE / F.col("n")) for k, c in enumerate("tb")]
-    front = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != text_col or keep_text]
+    names = [c for c in docs.columns if c not in results]
+    packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("_row"), F.col(f"`{text_col}`").alias("text"))
+    rows, _ = row_ids(packed, "_id", ["_id", "_row", "text"])
+    texts = rows.select("_id", "_uid", "text", F.lit(SCORED if corpus is not None else SCORED | COUNTED).alias("flags"))
+    if corpus is not None:
+        texts = texts.unionByName(corpus.select(F.col(f"`{id_col}`").alias("_id"), F.lit(0).cast("long").alias("_uid"), F.col(f"`{text_col}`").alias("text"), F.lit(COUNTED).alias("flags")))
+    texts = _marked(texts, good, id_col)
+    model, words = _frequent(texts.where(_flag(COUNTED)), bits, share, least)
+    shared = spark.sparkContext.broadcast(model)  # 24 bytes a word and a bigram: 2**18 words and 2 / SHARE bigrams
+    numbered = pa.table({"number": np.arange(len(model.words)), "n": model.n, "t": model.t})
+    numbered = materialize(spark.createDataFrame(numbered.to_pandas(), "number long, n long, t long"), "frequent")
+
+    def counted(table: DataFrame, key: str, to: str, name: str) -> DataFrame:
+        return table.select(F.col(key).alias(to), F.col("n").alias(f"{name}_n"), F.col("t").alias(f"{name}_t"))
+
+    far = _rest(texts.mapInArrow(_far(shared), f"code long, {_OWN}"), "code")
+    far = far.withColumn("left", F.shiftright("code", BITS)).withColumn("right", F.col("code").bitwiseAND((1 << BITS) - 1))
+    far = far.join(F.broadcast(counted(numbered, "number", "left", "p")), "left").join(F.broadcast(counted(numbered, "number", "right", "w")), "right")  # 2**18 rows at most
+    rare = _rest(texts.mapInArrow(_rare(shared), f"kind int, x long, y long, {_OWN}"), "kind", "x", "y")
+    pairs = rare.where("kind = 1").join(counted(words, "word", "x", "p").hint("merge"), "x").join(counted(words, "word", "y", "w").hint("merge"), "y")
+    near = texts.where(_flag(SCORED)).mapInArrow(_near(shared), "_uid long, n long, t long, b long")
+    every = near.unionByName(_pair_losses(far, model)).unionByName(_pair_losses(pairs, model)).unionByName(_word_losses(rare.where("kind = 0")))
+    sums = every.groupBy("_uid").agg(*(F.sum(c).alias(c) for c in "ntb"))
+    out = rows.select("_uid", "_row", *(["text"] if keep_text else [])).join(sums.hint("merge"), "_uid")
+    losses = [F.when(F.col("n") > 0, F.col(c) / SCALE / F.col("n")) for c in "tb"]
+    front = [F.col("text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names if c != text_col or keep_text]
     return out.select(*front, F.col("n").alias("n_tokens"), losses[0].alias("target_loss"), losses[1].alias("background_loss"), (losses[0] - losses[1]).alias("difference"))

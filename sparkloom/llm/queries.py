@@ -11,7 +11,6 @@ from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.language_bloom import fit as fit_languages
 from sparkloom.llm.language_bloom import identify
 from sparkloom.llm.license_scan import scan_licenses
-from sparkloom.llm.lm_difference import fit as fit_models
 from sparkloom.llm.lm_difference import score
 from sparkloom.llm.minmax_dedup import near_duplicates
 from sparkloom.llm.suffix_dedup import remove_repeats
@@ -88,7 +87,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return score(docs, fit_models(docs, good), keep_text=False)
+    return score(docs, good, keep_text=False)
 
 
 #: DuckDB SQL of the queries that SQL expresses exactly.

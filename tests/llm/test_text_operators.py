@@ -323,73 +323,77 @@ def test_retrieval_is_exact(spark, sf):
     assert found > 100
 
 
-def test_models_by_brute_force(spark, no_docs):
-    texts = ["a b a c", "a b b", "c c a", "b a", None, "", "a b zz", "c a b"] * 3
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    good = docs.where("doc_id % 2 = 0").select("doc_id")
-    models = lm_difference.fit(docs, good, vocabulary=4, cells=1 << 12)
-    folds = {r.doc_id: r.f for r in docs.select("doc_id", lm_difference.fold_of("doc_id").alias("f")).collect()}
-    counts = collections.Counter(w for t in texts for w in (t or "").split())
-    known = {w for w, _ in sorted(counts.items(), key=lambda x: -x[1])[:3]}
-    assert known == {"a", "b", "c"}
-    for r in lm_difference.score(docs, models).collect():
-        w = [x if x in known else "?" for x in (r.text or "").split()]
-        assert r.n_tokens == len(w)
-        if not w:
-            assert r.difference is None
-            continue
-        losses = []
+def brute_losses(texts, good, scored=None):
+    """(tokens, target loss, background loss) of each text by the counts of all others; of `scored` by those of all."""
+    split = lambda t: WORD.findall((t or "").lower())
+    kept = {True: [split(t) if d in good else [] for d, t in enumerate(texts)], False: [split(t) for t in texts]}
+    whole = {k: (collections.Counter(w for v in rows for w in v), collections.Counter(p for v in rows for p in zip(v[:-1], v[1:], strict=True))) for k, rows in kept.items()}
+    size = len(whole[False][0]) + 1
+    for d, text in enumerate(texts if scored is None else scored):
+        w, losses = split(text), []
         for only in (True, False):
-            one, two = collections.Counter(), collections.Counter()
-            for d, t in enumerate(texts):
-                if folds[d] != folds[r.doc_id] and (not only or d % 2 == 0):
-                    v = [x if x in known else "?" for x in (t or "").split()]
-                    one.update(v)
-                    two.update(zip(v[:-1], v[1:], strict=True))
-            total = sum(one.values())
-            loss = 0.0
+            mine = kept[only][d] if scored is None else []
+            own = collections.Counter(mine), collections.Counter(zip(mine[:-1], mine[1:], strict=True))
+            one, two = (lambda x, a=a, b=b: a[x] - b[x] for a, b in zip(whole[only], own, strict=True))
+            total, loss = sum(whole[only][0].values()) - len(mine), 0.0
             for i, x in enumerate(w):
-                single = (one[x] + lm_difference.ADD) / (total + lm_difference.ADD * 4)
-                weight = lm_difference.WEIGHT if i and one[w[i - 1]] else 0.0
-                pair = min(two[(w[i - 1], x)], one[w[i - 1]]) / one[w[i - 1]] if weight else 0.0
-                loss -= math.log(weight * pair + (1 - weight) * single)
-            losses.append(loss / len(w))
-        assert abs(r.target_loss - losses[0]) < 1e-6 and abs(r.background_loss - losses[1]) < 1e-6 and abs(r.difference - losses[0] + losses[1]) < 1e-6
-    empty = lm_difference.fit(no_docs, no_docs)
-    assert lm_difference.score(no_docs, empty).collect() == []
-    assert all(r.difference is None or math.isfinite(r.difference) for r in lm_difference.score(docs, empty).collect())
-
-
-def test_models_count_every_word_and_bigram(spark):
-    """Nothing is unknown or shares a cell at the default size, and what the tasks hold changes no result."""
+                weight = lm_difference.WEIGHT if i and one(w[i - 1]) else 0.0
+                pair = two((w[i - 1], x)) / one(w[i - 1]) if weight else 0.0
+                loss -= math.log(weight * pair + (1 - weight) * (one(x) + lm_difference.ADD) / (total + lm_difference.ADD * size))
+            losses.append(loss / len(w) if w else None)
+        yield len(w), *losses
+
+
+def same_losses(rows, want):
+    for r in rows:
+        n, target, background = want[r.doc_id]
+        assert r.n_tokens == n and (r.difference is None) == (not n)
+        if n:
+            assert abs(r.target_loss - target) < 1e-6 and abs(r.background_loss - background) < 1e-6 and abs(r.difference - target + background) < 1e-6
+    assert len(rows) == len(want)
+
+
+LIMITS = ({}, {"bits": 1, "share": 0.2, "least": 1}, {"bits": 3, "share": 0.01, "least": 1}, {"bits": 0, "share": 1.0})
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_losses_by_brute_force(spark, limits):
+    """Whatever is sent to the tasks, the losses are those of counting."""
+    texts = ["a b a c", "a b b", "c c a", "B a", None, "", "a b zz", "c a b \u00e9", "only here", "a"] * 2 + ["a b a c " * 30, "once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    good = docs.where("doc_id % 2 = 0").select("doc_id")
+    same_losses(lm_difference.score(docs, good, **limits).collect(), dict(enumerate(brute_losses(texts, {d for d in range(len(texts)) if d % 2 == 0}))))
+    other = ["a b zz", "new words", None, "c a b"]
+    new = spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")
+    same_losses(lm_difference.score(new, good, corpus=docs, **limits).collect(), dict(enumerate(brute_losses(texts, {d for d in range(len(texts)) if d % 2 == 0}, other))))
+
+
+def test_losses_of_odd_rows(spark, odd_docs, no_docs):
+    rows = [r for r in odd_docs.collect()]
+    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place long, " + "doc_id long, text string, lang string, source string, n_chars long, spans string, kept boolean, _uid long")
+    good = spark.createDataFrame([(2,), (None,), (8,), (8,)], "doc_id long")
+    out = lm_difference.score(numbered, good)
+    assert out.columns == [*numbered.columns, "n_tokens", "target_loss", "background_loss", "difference"]
+    want = list(brute_losses([r.text for r in rows], {i for i, r in enumerate(rows) if r.doc_id in (2, 8)}))
+    got = out.collect()
+    assert all(r.spans == "keep me" and r._uid == 7 for r in got) and len(got) == len(rows)
+    same_losses([type("R", (), {**r.asDict(), "doc_id": r.place}) for r in got], dict(enumerate(want)))
+    assert lm_difference.score(no_docs, good).collect() == []
+    none = lm_difference.score(numbered, good.limit(0)).collect()
+    assert all(r.difference is None or math.isfinite(r.difference) for r in none)
+    assert all(math.isfinite(r.difference) for r in lm_difference.score(numbered, good, corpus=no_docs).collect() if r.n_tokens)
+
+
+def test_losses_count_every_word_and_bigram(spark):
+    """Copies are told apart from single documents, and no word is unknown however many there are."""
     rng = random.Random(9)
-    texts = [" ".join(f"w{min(int(rng.paretovariate(0.3)), 200_000)}" for _ in range(400)) for _ in range(600)]
-    texts += [f"x{i} y{i} x{i}" for k in range(2) for i in range(40_000)]
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.3)), 200_000)}" for _ in range(400)) for _ in range(300)]
+    texts += [f"x{i} y{i} x{i}" for k in range(2) for i in range(40_000)] + [f"single{i} word{i}" for i in range(5000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     good = docs.where("doc_id % 2 = 0").select("doc_id")
-    folds = {r.doc_id: r.f for r in docs.select("doc_id", lm_difference.fold_of("doc_id").alias("f")).collect()}
-    one, two = ({(f, only): collections.Counter() for f in range(2) for only in (True, False)} for _ in range(2))
-    for d, t in enumerate(texts):
-        w = t.split()
-        for only in (True, False)[d % 2 :]:
-            one[folds[d], only].update(w)
-            two[folds[d], only].update(zip(w[:-1], w[1:], strict=True))
-    size, totals = len({w for c in one.values() for w in c}) + 1, {k: sum(c.values()) for k, c in one.items()}
-    assert size > 1 << 16
-    for cells in (lm_difference.CELLS, 3000):
-        models = lm_difference.fit(docs, good, cells=cells)
-        assert len(models.keys) <= cells
-        seen = 0
-        for r in lm_difference.score(docs, models).collect():
-            w, losses = r.text.split(), []
-            for only in (True, False):
-                n, pairs = one[1 - folds[r.doc_id], only], two[1 - folds[r.doc_id], only]
-                total, loss = totals[1 - folds[r.doc_id], only], 0.0
-                for i, x in enumerate(w):
-                    weight = lm_difference.WEIGHT if i and n[w[i - 1]] else 0.0
-                    pair = pairs[w[i - 1], x] / n[w[i - 1]] if weight else 0.0
-                    loss -= math.log(weight * pair + (1 - weight) * (n[x] + lm_difference.ADD) / (total + lm_difference.ADD * size))
-                losses.append(loss / len(w))
-            assert r.n_tokens == len(w) and abs(r.target_loss - losses[0]) < 1e-6 and abs(r.background_loss - losses[1]) < 1e-6
-            seen += 1
-        assert seen == len(texts)
+    want = dict(enumerate(brute_losses(texts, {d for d in range(len(texts)) if d % 2 == 0})))
+    assert len({w for t in texts for w in t.split()}) > 1 << 16
+    for limits in ({}, {"bits": 10, "share": 2.0**-10}):
+        same_losses(lm_difference.score(docs, good, **limits).collect(), want)
+    copies, singles = ([want[d][2] for d in r] for r in (range(300, 80_300), range(80_300, 85_300)))
+    assert max(copies) < min(singles)
