@@ -14,9 +14,12 @@ adds to the loss of an unseen word, and a word or bigram of one document alone a
   the tasks (a fixed size), which add up what these contribute.  A bigram is frequent if it has half
   of ``SHARE`` of all tokens counting only batches where it has that share (and ``LEAST`` occurrences),
   so there are at most ``2 / SHARE`` and no other has more than SHARE of all tokens and LEAST a batch.
-* Every other word and bigram goes, once per document, to the task of its key, where a window adds the
-  whole counts; only what another document also holds is kept, meets the counts of its two words and
-  is summed by document.  No key of that shuffle is frequent, and what is shuffled grows with the corpus.
+* Every other word and bigram goes, once per document, to the bucket of its key, packed in columns.  A
+  bucket adds the whole counts and returns to each document what its keys contribute, if another
+  document also holds them.  Buckets are as many as ``ROWS`` tokens each take; no key in them is
+  frequent, and what is dealt grows with the corpus.
+* A bigram with a word that is not frequent goes to that word's bucket, which knows its count.  If both
+  words are so, the first one's count is joined: few of them are in two documents.
 
 What is sent to the tasks decides where a sum is made, never its result.
 """
@@ -28,10 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import slices
+from sparkloom.llm.deal import bucket_of, cut, gather, pack, unpack
 from sparkloom.llm.hashing import U64, mix
 from sparkloom.llm.shingles import word_hashes
 from sparkloom.llm.store import bounded_batches, materialize, row_ids
@@ -42,7 +46,12 @@ BITS, SHARE, LEAST = 18, 2.0**-17, 8
 #: Ids of target documents that are broadcast at most (8 bytes each); more are joined by a shuffle.
 MARKS = 1 << 20
 #: Losses are added as integers of this scale, so sums don't depend on the order.
-SCALE = 1 << 32
+SCALE = 1 << 24
+#: Rows that a task gathers before it deals them, and tokens that a bucket is made for.
+BLOCK, ROWS = 1 << 21, 1 << 20
+#: Spreads the codes of bigrams over 64 bits; the inverse brings them back.
+_SPREAD = 0x9E3779B97F4A7C15
+_BACK = pow(_SPREAD, -1, 1 << 64)
 GOOD, COUNTED, SCORED = 1, 2, 4
 
 
@@ -192,87 +201,194 @@ def _hot(shared):
     return go
 
 
-def _near(shared):
-    def go(batches):
-        model = shared.value
-        for batch in batches:
-            flags, n, loss = _flags(batch), np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows))
-            for p in parts(batch.column("text"), model.words):
-                n[p.first : p.first + len(p.size)] = p.size
-                loss += model.sums(p, flags, batch.num_rows)
-            yield pa.record_batch([batch.column("_uid"), pa.array(n), *(pa.array(np.rint(x * SCALE).astype(np.int64)) for x in loss)], names=["_uid", "n", "t", "b"])
-
-    return go
+NEAR, FAR, RARE = range(3)
+#: Kinds of rare keys: a word; a bigram whose second, first or both words are not frequent.
+WORD, SECOND, FIRST, BOTH = range(4)
 
 
-_OWN = "_uid long, flags int, n int, a int, b int, c int"
+def _deal(shared, buckets: int):
+    """(bucket, section, blob): sums of what is known at once, and rows of bigrams of frequent words and of rare keys."""
 
+    def block(held):
+        uid, flags, n, loss = (np.concatenate([h[k] for h in held], axis=-1) for k in range(4))
+        own = (flags & SCORED) > 0
+        yield int(bucket_of(uid[:1].astype(np.int64).view(U64) * U64(_SPREAD), buckets)[0]), NEAR, pack([uid[own], n[own], *(x[own] for x in loss)])
+        base = np.cumsum([0, *(len(h[0]) for h in held)])
+        for section, k in ((FAR, 4), (RARE, 5)):
+            rows = [[*x[:1], x[1] + first, *x[2:]] for h, first in zip(held, base.tolist(), strict=False) for x in h[k]]
+            if rows:
+                key, owner, *columns = (np.concatenate(c) for c in zip(*rows, strict=True))
+                for bucket, blob in cut(key, owner, [uid, flags, n], columns, buckets):
+                    yield bucket, section, blob
 
-def _own(batch, p: Part, row, n, a, b) -> list[pa.Array]:
-    """The columns of _OWN: the row and its own counts of the key, of both words, and of all tokens."""
-    return [batch.column("_uid").take(pa.array(row)), pa.array(_flags(batch)[row].astype(np.int32)), *(pa.array(x.astype(np.int32)) for x in (n, a, b, p.size[row - p.first]))]
-
+    def go(batches):
+        model, held, size = shared.value, [], 0
 
-def _far(shared):
-    """Bigrams of two frequent words that are not frequent themselves."""
+        def flush():
+            rows = list(block(held))
+            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "section", "blob"])
 
-    def go(batches):
-        model = shared.value
         for batch in batches:
+            flags, n, loss, far, rare = _flags(batch), np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows)), [], []
+            if not batch.num_rows:
+                continue
             for p in parts(batch.column("text"), model.words):
+                n[p.first : p.first + len(p.size)] = p.size
+                loss += model.sums(p, flags, batch.num_rows)
                 code = model.code(p)
                 k = np.flatnonzero((code >= 0) & (model.lookup(code) < 0))
-                row = p.row[p.left[k]]
-                yield pa.record_batch([pa.array(code[k]), *_own(batch, p, row, p.pairs[k], p.n[p.left[k]], p.n[p.right[k]])], names=["code", "_uid", "flags", "n", "a", "b", "c"])
+                with np.errstate(over="ignore"):
+                    far.append([code[k].astype(U64) * U64(_SPREAD), p.row[p.left[k]], p.pairs[k], p.n[p.left[k]], p.n[p.right[k]]])
+                w, k = np.flatnonzero(p.number < 0), np.flatnonzero(code < 0)
+                a, b = p.left[k], p.right[k]
+                second = p.number[b] < 0
+                kind = np.where(second, np.where(p.number[a] < 0, BOTH, SECOND), FIRST)
+                other = np.where(kind == BOTH, p.word[a], np.where(second, p.number[a], p.number[b]).astype(U64))
+                none = np.zeros(len(w), np.int64)
+                rare.append([np.r_[p.word[w], np.where(second, p.word[b], p.word[a])], np.r_[p.row[w], p.row[a]], np.r_[none, kind], np.r_[none.astype(U64), other].view(np.int64), np.r_[p.n[w], p.pairs[k]], np.r_[p.last[w], p.n[a]], np.r_[none, p.n[b]]])
+                size += len(far[-1][0]) + len(rare[-1][0])
+            uid = batch.column("_uid").to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append((uid, flags, n, np.rint(loss * SCALE).astype(np.int64), far, rare))
+            if size >= BLOCK:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     return go
 
 
-def _rare(shared):
-    """Words that are not frequent (kind 0; a says that the row ends with it) and bigrams with one (1)."""
+@dataclass
+class Own:
+    """Rows of a bucket: owner, own count of the key and of both words (a, b), and for each model whether it counts them."""
 
-    def go(batches):
-        model = shared.value
-        for batch in batches:
-            for p in parts(batch.column("text"), model.words):
-                w, k = np.flatnonzero(p.number < 0), np.flatnonzero(model.code(p) < 0)
-                kind = np.r_[np.zeros(len(w), np.int32), np.ones(len(k), np.int32)]
-                x, y = np.r_[p.word[w], p.word[p.left[k]]], np.r_[np.zeros(len(w), U64), p.word[p.right[k]]]
-                own = _own(batch, p, np.r_[p.row[w], p.row[p.left[k]]], np.r_[p.n[w], p.pairs[k]], np.r_[p.last[w], p.n[p.left[k]]], np.r_[np.zeros(len(w), np.int64), p.n[p.right[k]]])
-                yield pa.record_batch([pa.array(kind), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), *own], names=["kind", "x", "y", "_uid", "flags", "n", "a", "b", "c"])
+    owner: np.ndarray
+    n: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    size: np.ndarray
+    counts: tuple[np.ndarray, np.ndarray]
+    scored: np.ndarray
 
-    return go
+    def take(self, k: np.ndarray) -> Own:
+        return Own(self.owner[k], self.n[k], self.a[k], self.b[k], self.size[k], tuple(c[k] for c in self.counts), self.scored[k])
 
+    def rest(self, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the other documents hold of each row's key, by model, and the number of the key; rows are sorted by key."""
+        new = np.zeros(len(self.n), bool)
+        new[:1] = True
+        for k in key:
+            new[1:] |= k[1:] != k[:-1]
+        group = np.cumsum(new) - 1
+        mine = [self.n * c for c in self.counts]
+        return *(np.add.reduceat(m, np.flatnonzero(new))[group] - m if len(m) else m for m in mine), group
 
-def _flag(bit: int):
-    return F.col("flags").bitwiseAND(bit) > 0
 
+def _own(flags, size, owner, n, a, b) -> Own:
+    f = flags[owner]
+    counted = ((f & COUNTED) > 0).astype(np.int64)
+    return Own(owner, n, a, b, size[owner], (counted * (f & GOOD), counted), (f & SCORED) > 0)
 
-def _rest(rows: DataFrame, *key: str) -> DataFrame:
-    """rows of _OWN to score, with rest_t and rest_n: what the other documents hold of the key; none, no row."""
-    over = Window.partitionBy(*key)
-    mine = {"t": F.when(_flag(COUNTED) & _flag(GOOD), F.col("n")).otherwise(0), "n": F.when(_flag(COUNTED), F.col("n")).otherwise(0)}
-    return rows.select("*", *((F.sum(x).over(over) - x).alias(f"rest_{k}") for k, x in mine.items())).where(_flag(SCORED) & (F.col("rest_n") > 0))
 
+def _pair_losses(own: Own, rest, before, single, model: Frequent) -> list[np.ndarray]:
+    """What bigrams add under both models, from whole counts of their words."""
+    out = []
+    for k in range(2):
+        size = model.totals[k] + ADD * (model.distinct + 1) - own.counts[k] * own.size
+        odds = WEIGHT / (1 - WEIGHT) * rest[k] / np.maximum(before[k] - own.counts[k] * own.a, 1) * size / (single[k] - own.counts[k] * own.b + ADD)
+        out.append(-own.n * np.log1p(odds))
+    return out
+
+
+def _far(blobs: list[bytes], model: Frequent):
+    """(ids, owner, losses) of bigrams of frequent words."""
+    (uid, flags, size), key, owner, (n, a, b) = gather(blobs, 3)
+    order = np.argsort(key, kind="stable")  # merges the sorted blobs
+    key, own = key[order], _own(flags, size, owner[order], n[order], a[order], b[order])
+    t, m, _ = own.rest(key)
+    live = np.flatnonzero((m > 0) & own.scored)
+    with np.errstate(over="ignore"):
+        code = (key[live] * U64(_BACK)).astype(np.int64)
+    x, y = code >> BITS, code & (1 << BITS) - 1
+    return uid, own.owner[live], _pair_losses(own.take(live), (t[live], m[live]), (model.t[x], model.n[x]), (model.t[y], model.n[y]), model)
+
+
+def _rare(blobs: list[bytes], model: Frequent):
+    """(ids, owner, losses) of rare words and bigrams, and the bigrams of two rare words that still lack the first one's count."""
+    (uid, flags, size), key, owner, (kind, other, n, a, b) = gather(blobs, 3)
+    order = np.lexsort((other, kind, key))
+    key, kind, other, own = key[order], kind[order], other[order], _own(flags, size, owner[order], n[order], a[order], b[order])
+    t, m, _ = own.rest(key, kind, other)
+    whole = [x + own.n * c for x, c in zip((t, m), own.counts, strict=True)]
+    heads = np.flatnonzero((kind == WORD) & np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])][: len(key)])
+    at = heads[np.searchsorted(key[heads], key)] if len(heads) else np.zeros(0, np.int64)  # every pair's main word is there
+    main = [w[at] for w in whole]
+    live = (m > 0) & own.scored
+    w = np.flatnonzero(live & (kind == WORD))
+    losses = [[-own.n[w] * np.log1p(r[w] / ADD) - (r[w] > 0) * (own.n[w] - own.a[w]) * math.log(1 - WEIGHT) for r in (t, m)]]
+    where = [w]
+    for k in (SECOND, FIRST):
+        p = np.flatnonzero(live & (kind == k))
+        known, here = (model.t[other[p]], model.n[other[p]]), [x[p] for x in main]
+        losses.append(_pair_losses(own.take(p), (t[p], m[p]), *((known, here) if k == SECOND else (here, known)), model))
+        where.append(p)
+    p = np.flatnonzero(live & (kind == BOTH))
+    lacking = own.take(p)
+    single = [x[p] - c * lacking.b for x, c in zip(main, lacking.counts, strict=True)]
+    pending = [other[p], uid[lacking.owner], lacking.n, t[p], m[p], *(c * lacking.a for c in lacking.counts), *single, *(c * lacking.size for c in lacking.counts)]
+    return uid, own.owner[np.concatenate(where)], [np.concatenate(x) for x in zip(*losses, strict=True)], pending
+
+
+_PENDING = ("x", "_uid", "n", "rest_t", "rest_n", "a_t", "a_n", "w_t", "w_n", "c_t", "c_n")
+
+
+def _bucket(shared, pending: bool):
+    """What the buckets of a partition return: (_uid, n, t, b), or the rows of _PENDING."""
+
+    def batch(columns, names):
+        return pa.record_batch([pa.array(np.asarray(c, np.int64)) for c in columns], names=list(names))
 
-def _fixed(x):
-    return F.round(x * SCALE).cast("long")
+    def go(batches):
+        held = {}  # blobs stay packed until their bucket's turn
+        for b in batches:
+            for bucket, section, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                held.setdefault((bucket, section), []).append(blob.as_py())
+        model = shared.value
+        for (_, section), blobs in sorted(held.items()):
+            if section == RARE:
+                uid, owner, losses, rows = _rare(blobs, model)
+                if pending:
+                    yield batch(rows, _PENDING)
+                    continue
+            elif pending:
+                continue
+            elif section == NEAR:
+                for blob in blobs:
+                    yield batch([c.view(np.int64) for c in unpack(blob)], ("_uid", "n", "t", "b"))
+                continue
+            else:
+                uid, owner, losses = _far(blobs, model)
+            t, b = (np.rint(np.bincount(owner, x, len(uid)) * SCALE) for x in losses)
+            some = np.flatnonzero((t != 0) | (b != 0))
+            yield batch([uid[some], np.zeros(len(some)), t[some], b[some]], ("_uid", "n", "t", "b"))
 
+    return go
 
-def _pair_losses(rows: DataFrame, model: Frequent) -> DataFrame:
-    """(_uid, t, b) of bigrams with rest_*, and whole counts of both words in p_* and w_*."""
+
+def _pending_losses(rows: DataFrame, words: DataFrame, model: Frequent) -> DataFrame:
+    """(_uid, n, t, b) of bigrams of two rare words, with the first one's count."""
+    known = words.select(F.col("word").alias("x"), F.col("n").alias("p_n"), F.col("t").alias("p_t"))
+    rows = rows.join(known.hint("merge"), "x")
     out = []
     for k, c in enumerate("tn"):
-        own = F.when(_flag(COUNTED) & _flag(GOOD) if c == "t" else _flag(COUNTED), 1).otherwise(0)
-        size = F.lit(model.totals[k] + ADD * (model.distinct + 1)) - own * F.col("c")
-        odds = WEIGHT / (1 - WEIGHT) * F.col(f"rest_{c}") / F.greatest(F.col(f"p_{c}") - own * F.col("a"), F.lit(1)) * size / (F.col(f"w_{c}") - own * F.col("b") + ADD)
-        out.append(_fixed(-F.col("n") * F.log1p(odds)))
+        size = F.lit(model.totals[k] + ADD * (model.distinct + 1)) - F.col(f"c_{c}")
+        odds = WEIGHT / (1 - WEIGHT) * F.col(f"rest_{c}") / F.greatest(F.col(f"p_{c}") - F.col(f"a_{c}"), F.lit(1)) * size / (F.col(f"w_{c}") + ADD)
+        out.append(F.round(-F.col("n") * F.log1p(odds) * SCALE).cast("long"))
     return rows.select("_uid", F.lit(0).cast("long").alias("n"), out[0].alias("t"), out[1].alias("b"))
 
 
-def _word_losses(rows: DataFrame) -> DataFrame:
-    added = [-F.col("n") * F.log1p(F.col(f"rest_{c}") / ADD) - F.when(F.col(f"rest_{c}") > 0, (F.col("n") - F.col("a")) * math.log(1 - WEIGHT)).otherwise(0.0) for c in "tn"]
-    return rows.select("_uid", F.lit(0).cast("long").alias("n"), _fixed(added[0]).alias("t"), _fixed(added[1]).alias("b"))
+def _flag(bit: int):
+    return F.col("flags").bitwiseAND(bit) > 0
 
 
 def _marked(rows: DataFrame, good: DataFrame, id_col: str) -> DataFrame:
@@ -331,20 +447,12 @@ def score(
         texts = texts.unionByName(corpus.select(F.col(f"`{id_col}`").alias("_id"), F.lit(0).cast("long").alias("_uid"), F.col(f"`{text_col}`").alias("text"), F.lit(COUNTED).alias("flags")))
     texts = _marked(texts, good, id_col)
     model, words = _frequent(texts.where(_flag(COUNTED)), bits, share, least)
-    shared = spark.sparkContext.broadcast(model)  # 24 bytes a word and a bigram: 2**18 words and 2 / SHARE bigrams
-    numbered = pa.table({"number": np.arange(len(model.words)), "n": model.n, "t": model.t})
-    numbered = materialize(spark.createDataFrame(numbered.to_pandas(), "number long, n long, t long"), "frequent")
-
-    def counted(table: DataFrame, key: str, to: str, name: str) -> DataFrame:
-        return table.select(F.col(key).alias(to), F.col("n").alias(f"{name}_n"), F.col("t").alias(f"{name}_t"))
-
-    far = _rest(texts.mapInArrow(_far(shared), f"code long, {_OWN}"), "code")
-    far = far.withColumn("left", F.shiftright("code", BITS)).withColumn("right", F.col("code").bitwiseAND((1 << BITS) - 1))
-    far = far.join(F.broadcast(counted(numbered, "number", "left", "p")), "left").join(F.broadcast(counted(numbered, "number", "right", "w")), "right")  # 2**18 rows at most
-    rare = _rest(texts.mapInArrow(_rare(shared), f"kind int, x long, y long, {_OWN}"), "kind", "x", "y")
-    pairs = rare.where("kind = 1").join(counted(words, "word", "x", "p").hint("merge"), "x").join(counted(words, "word", "y", "w").hint("merge"), "y")
-    near = texts.where(_flag(SCORED)).mapInArrow(_near(shared), "_uid long, n long, t long, b long")
-    every = near.unionByName(_pair_losses(far, model)).unionByName(_pair_losses(pairs, model)).unionByName(_word_losses(rare.where("kind = 0")))
+    shared = spark.sparkContext.broadcast(model)  # 24 bytes a word and a bigram: 2**BITS words and 2 / SHARE bigrams
+    buckets = max(1, math.ceil(sum(model.totals[1:]) / ROWS))
+    dealt = texts.mapInArrow(_deal(shared, buckets), "bucket int, section int, blob binary").repartition(buckets, "bucket")
+    near = dealt.mapInArrow(_bucket(shared, False), "_uid long, n long, t long, b long")
+    lacking = dealt.mapInArrow(_bucket(shared, True), ", ".join(f"{c} long" for c in _PENDING))
+    every = near.unionByName(_pending_losses(lacking, words, model))
     sums = every.groupBy("_uid").agg(*(F.sum(c).alias(c) for c in "ntb"))
     out = rows.select("_uid", "_row", *(["text"] if keep_text else [])).join(sums.hint("merge"), "_uid")
     losses = [F.when(F.col("n") > 0, F.col(c) / SCALE / F.col("n")) for c in "tb"]
