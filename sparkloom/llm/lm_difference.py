@@ -15,9 +15,9 @@ adds to the loss of an unseen word, and a word or bigram of one document alone a
   of ``SHARE`` of all tokens counting only batches where it has that share (and ``LEAST`` occurrences),
   so there are at most ``2 / SHARE`` and no other has more than SHARE of all tokens and LEAST a batch.
 * Every other word and bigram goes, once per document, to the bucket of its key, packed in columns.  A
-  bucket adds the whole counts and returns to each document what its keys contribute, if another
-  document also holds them.  Buckets are as many as ``ROWS`` tokens each take; no key in them is
-  frequent, and what is dealt grows with the corpus.
+  bucket adds the whole counts, and what its keys contribute to each document, if another one also
+  holds them, goes to the document's bucket, packed as well.  Buckets are as many as ``ROWS`` tokens
+  each take; no key in them is frequent, and what is dealt grows with the corpus.
 * A bigram with a word that is not frequent goes to that word's bucket, which knows its count.  If both
   words are so, the first one's count is joined: few of them are in two documents.
 
@@ -342,39 +342,77 @@ def _rare(blobs: list[bytes], model: Frequent):
 _PENDING = ("x", "_uid", "n", "rest_t", "rest_n", "a_t", "a_n", "w_t", "w_n", "c_t", "c_n")
 
 
-def _bucket(shared, pending: bool):
-    """What the buckets of a partition return: (_uid, n, t, b), or the rows of _PENDING."""
+def _batch(columns, names) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.asarray(c, np.int64)) for c in columns], names=list(names))
 
-    def batch(columns, names):
-        return pa.record_batch([pa.array(np.asarray(c, np.int64)) for c in columns], names=list(names))
+
+def _signless(x: np.ndarray) -> np.ndarray:
+    return (x << 1) ^ (x >> 63)
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    x = x.view(np.int64)
+    return (x >> 1) ^ -(x & 1)
+
+
+def _summed(uid, *values) -> list[np.ndarray]:
+    at, *values = _grouped(uid, *values)
+    return [uid[at], *values]
+
+
+def _blobs(batches):
+    """(bucket, section) to packed blobs of a partition."""
+    held = {}
+    for b in batches:
+        for bucket, section, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            held.setdefault((bucket, section), []).append(blob.as_py())
+    return held
+
+
+def _bucket(shared, homes: int):
+    """What the keys of a bucket contribute to each document: (bucket of the document, NEAR, blob)."""
 
     def go(batches):
-        held = {}  # blobs stay packed until their bucket's turn
-        for b in batches:
-            for bucket, section, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                held.setdefault((bucket, section), []).append(blob.as_py())
-        model = shared.value
-        for (_, section), blobs in sorted(held.items()):
-            if section == RARE:
-                uid, owner, losses, rows = _rare(blobs, model)
-                if pending:
-                    yield batch(rows, _PENDING)
-                    continue
-            elif pending:
+        model, rows = shared.value, []
+        for (_, section), blobs in sorted(_blobs(batches).items()):
+            if section == NEAR:
+                rows += [[c.view(np.int64) for c in unpack(blob)] for blob in blobs]
                 continue
-            elif section == NEAR:
-                for blob in blobs:
-                    yield batch([c.view(np.int64) for c in unpack(blob)], ("_uid", "n", "t", "b"))
-                continue
-            else:
-                uid, owner, losses = _far(blobs, model)
-            t, b = (np.rint(np.bincount(owner, x, len(uid)) * SCALE) for x in losses)
+            uid, owner, losses, *_ = (_rare if section == RARE else _far)(blobs, model)
+            t, b = (np.rint(np.bincount(owner, x, len(uid)) * SCALE).astype(np.int64) for x in losses)
             some = np.flatnonzero((t != 0) | (b != 0))
-            yield batch([uid[some], np.zeros(len(some)), t[some], b[some]], ("_uid", "n", "t", "b"))
+            rows.append(_summed(uid[some], np.zeros(len(some), np.int64), t[some], b[some]))
+        if not rows:
+            return
+        uid, n, *losses = _summed(*(np.concatenate(c) for c in zip(*rows, strict=True)))
+        with np.errstate(over="ignore"):
+            key = uid.view(U64) * U64(_SPREAD)
+        dealt = list(cut(key, np.zeros(len(uid), np.int64), [np.zeros(1, U64)], [n, *map(_signless, losses)], homes))
+        yield pa.record_batch([pa.array([d[0] for d in dealt], pa.int32()), pa.array([NEAR] * len(dealt), pa.int32()), pa.array([d[1] for d in dealt], pa.binary())], names=["bucket", "section", "blob"])
+
+    return go
+
+
+def _lacking(shared):
+    """The rows of _PENDING of a bucket."""
+
+    def go(batches):
+        for (_, section), blobs in sorted(_blobs(batches).items()):
+            if section == RARE:
+                yield _batch(_rare(blobs, shared.value)[3], _PENDING)
 
     return go
 
 
+def _home(batches):
+    """(_uid, n, t, b): all that comes back to a document, one row each."""
+    for blobs in _blobs(batches).values():
+        _, key, _, (n, t, b) = gather(blobs, 1)
+        with np.errstate(over="ignore"):
+            uid = (key * U64(_BACK)).view(np.int64)
+        yield _batch(_summed(uid, n, _signed(t), _signed(b)), ("_uid", "n", "t", "b"))
+
+
 def _pending_losses(rows: DataFrame, words: DataFrame, model: Frequent) -> DataFrame:
     """(_uid, n, t, b) of bigrams of two rare words, with the first one's count."""
     known = words.select(F.col("word").alias("x"), F.col("n").alias("p_n"), F.col("t").alias("p_t"))
@@ -449,10 +487,12 @@ def score(
     model, words = _frequent(texts.where(_flag(COUNTED)), bits, share, least)
     shared = spark.sparkContext.broadcast(model)  # 24 bytes a word and a bigram: 2**BITS words and 2 / SHARE bigrams
     buckets = max(1, math.ceil(sum(model.totals[1:]) / ROWS))
-    dealt = texts.mapInArrow(_deal(shared, buckets), "bucket int, section int, blob binary").repartition(buckets, "bucket")
-    near = dealt.mapInArrow(_bucket(shared, False), "_uid long, n long, t long, b long")
-    lacking = dealt.mapInArrow(_bucket(shared, True), ", ".join(f"{c} long" for c in _PENDING))
-    every = near.unionByName(_pending_losses(lacking, words, model))
+    homes = max(1, buckets // 4)
+    schema = "bucket int, section int, blob binary"
+    dealt = texts.mapInArrow(_deal(shared, buckets), schema).repartitionById(buckets, "bucket")
+    home = dealt.mapInArrow(_bucket(shared, homes), schema).repartitionById(homes, "bucket").mapInArrow(_home, "_uid long, n long, t long, b long")
+    lacking = dealt.mapInArrow(_lacking(shared), ", ".join(f"{c} long" for c in _PENDING))
+    every = home.unionByName(_pending_losses(lacking, words, model))
     sums = every.groupBy("_uid").agg(*(F.sum(c).alias(c) for c in "ntb"))
     out = rows.select("_uid", "_row", *(["text"] if keep_text else [])).join(sums.hint("merge"), "_uid")
     losses = [F.when(F.col("n") > 0, F.col(c) / SCALE / F.col("n")) for c in "tb"]
