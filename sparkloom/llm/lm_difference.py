@@ -48,7 +48,7 @@ MARKS = 1 << 20
 #: Losses are added as integers of this scale, so sums don't depend on the order.
 SCALE = 1 << 24
 #: Rows that a task gathers before it deals them, and tokens that a bucket is made for.
-BLOCK, ROWS = 1 << 21, 1 << 20
+BLOCK, ROWS = 1 << 19, 1 << 19
 #: Spreads the codes of bigrams over 64 bits; the inverse brings them back.
 _SPREAD = 0x9E3779B97F4A7C15
 _BACK = pow(_SPREAD, -1, 1 << 64)
@@ -160,26 +160,23 @@ class Frequent:
     def lookup(self, code: np.ndarray) -> np.ndarray:
         return np.where(code >= 0, _number(code, self.codes), -1)
 
-    def sums(self, p: Part, flags: np.ndarray, rows: int) -> np.ndarray:
-        """(2, rows): losses under both models, of unseen words and of what frequent words and bigrams add."""
-        out = np.zeros((2, rows))
+    def sums(self, p: Part, flags: np.ndarray) -> np.ndarray:
+        """(2, rows of the part): losses under both models, of unseen words and of what frequent words and bigrams add."""
+        out, flags, row = np.zeros((2, len(p.size))), flags[p.first : p.first + len(p.size)], p.row - p.first
         counted = (flags & COUNTED) > 0
-        code = self.code(p)
-        at = self.lookup(code)
-        hot = np.flatnonzero(at >= 0)
+        at = self.lookup(self.code(p))
+        hot, w = np.flatnonzero(at >= 0), np.flatnonzero(p.number >= 0)
         a, b = p.left[hot], p.right[hot]
-        w = np.flatnonzero(p.number >= 0)
         for k, (words, codes) in enumerate(((self.t, self.codes_t), (self.n, self.codes_n))):
             own = (counted & ((flags & GOOD) > 0) if k == 0 else counted).astype(np.int64)
-            size = self.totals[k] - own[p.first : p.first + len(p.size)] * p.size + ADD * (self.distinct + 1)
-            out[k, p.first : p.first + len(p.size)] += p.size * np.log(size / ADD)
-            rest = words[p.number[w]] - own[p.row[w]] * p.n[w]
-            np.add.at(out[k], p.row[w], -p.n[w] * np.log1p(rest / ADD) - (rest > 0) * (p.n[w] - p.last[w]) * math.log(1 - WEIGHT))
-            row = p.row[a]
-            pair = codes[at[hot]] - own[row] * p.pairs[hot]
-            before, single = words[p.number[a]] - own[row] * p.n[a], words[p.number[b]] - own[row] * p.n[b]
-            odds = WEIGHT / (1 - WEIGHT) * pair / np.maximum(before, 1) * size[row - p.first] / (single + ADD)
-            np.add.at(out[k], row, -p.pairs[hot] * np.log1p(odds))
+            size = self.totals[k] - own * p.size + ADD * (self.distinct + 1)
+            rest = words[p.number[w]] - own[row[w]] * p.n[w]
+            r = row[a]
+            pair = codes[at[hot]] - own[r] * p.pairs[hot]
+            before, single = words[p.number[a]] - own[r] * p.n[a], words[p.number[b]] - own[r] * p.n[b]
+            odds = WEIGHT / (1 - WEIGHT) * pair / np.maximum(before, 1) * size[r] / (single + ADD)
+            out[k] = p.size * np.log(size / ADD) + np.bincount(row[w], -p.n[w] * np.log1p(rest / ADD) - (rest > 0) * (p.n[w] - p.last[w]) * math.log(1 - WEIGHT), len(p.size))
+            out[k] += np.bincount(r, -p.pairs[hot] * np.log1p(odds), len(p.size))
         return out
 
 
@@ -215,11 +212,10 @@ def _deal(shared, buckets: int):
         yield int(bucket_of(uid[:1].astype(np.int64).view(U64) * U64(_SPREAD), buckets)[0]), NEAR, pack([uid[own], n[own], *(x[own] for x in loss)])
         base = np.cumsum([0, *(len(h[0]) for h in held)])
         for section, k in ((FAR, 4), (RARE, 5)):
-            rows = [[*x[:1], x[1] + first, *x[2:]] for h, first in zip(held, base.tolist(), strict=False) for x in h[k]]
-            if rows:
-                key, owner, *columns = (np.concatenate(c) for c in zip(*rows, strict=True))
-                for bucket, blob in cut(key, owner, [uid, flags, n], columns, buckets):
-                    yield bucket, section, blob
+            rows = [[*h[k][:1], h[k][1] + first, *h[k][2:]] for h, first in zip(held, base.tolist(), strict=False)]
+            key, owner, *columns = (np.concatenate(c) for c in zip(*rows, strict=True))
+            for bucket, blob in cut(key, owner, [uid, flags, n], columns, buckets):
+                yield bucket, section, blob
 
     def go(batches):
         model, held, size = shared.value, [], 0
@@ -229,29 +225,26 @@ def _deal(shared, buckets: int):
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "section", "blob"])
 
         for batch in batches:
-            flags, n, loss, far, rare = _flags(batch), np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows)), [], []
-            if not batch.num_rows:
-                continue
+            every, uids = _flags(batch), batch.column("_uid").to_numpy(zero_copy_only=False).astype(np.int64)
             for p in parts(batch.column("text"), model.words):
-                n[p.first : p.first + len(p.size)] = p.size
-                loss += model.sums(p, flags, batch.num_rows)
-                code = model.code(p)
+                rows = slice(p.first, p.first + len(p.size))
+                loss = np.rint(model.sums(p, every) * SCALE).astype(np.int64)
+                code, row = model.code(p), p.row - p.first
                 k = np.flatnonzero((code >= 0) & (model.lookup(code) < 0))
                 with np.errstate(over="ignore"):
-                    far.append([code[k].astype(U64) * U64(_SPREAD), p.row[p.left[k]], p.pairs[k], p.n[p.left[k]], p.n[p.right[k]]])
+                    far = [code[k].astype(U64) * U64(_SPREAD), row[p.left[k]], p.pairs[k], p.n[p.left[k]], p.n[p.right[k]]]
                 w, k = np.flatnonzero(p.number < 0), np.flatnonzero(code < 0)
                 a, b = p.left[k], p.right[k]
                 second = p.number[b] < 0
                 kind = np.where(second, np.where(p.number[a] < 0, BOTH, SECOND), FIRST)
                 other = np.where(kind == BOTH, p.word[a], np.where(second, p.number[a], p.number[b]).astype(U64))
                 none = np.zeros(len(w), np.int64)
-                rare.append([np.r_[p.word[w], np.where(second, p.word[b], p.word[a])], np.r_[p.row[w], p.row[a]], np.r_[none, kind], np.r_[none.astype(U64), other].view(np.int64), np.r_[p.n[w], p.pairs[k]], np.r_[p.last[w], p.n[a]], np.r_[none, p.n[b]]])
-                size += len(far[-1][0]) + len(rare[-1][0])
-            uid = batch.column("_uid").to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append((uid, flags, n, np.rint(loss * SCALE).astype(np.int64), far, rare))
-            if size >= BLOCK:
-                yield flush()
-                held, size = [], 0
+                rare = [np.r_[p.word[w], np.where(second, p.word[b], p.word[a])], np.r_[row[w], row[a]], np.r_[none, kind], np.r_[none.astype(U64), other].view(np.int64), np.r_[p.n[w], p.pairs[k]], np.r_[p.last[w], p.n[a]], np.r_[none, p.n[b]]]
+                held.append((uids[rows], every[rows], p.size, loss, far, rare))
+                size += len(far[0]) + len(rare[0])
+                if size >= BLOCK:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
