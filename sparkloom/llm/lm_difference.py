@@ -437,7 +437,14 @@ def _frequent(texts: DataFrame, bits: int, share: float, least: int) -> tuple[Fr
     counts = materialize(texts.mapInArrow(_counts(share, least), schema).groupBy("kind", "x", "y").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "counts")
     words = counts.where("kind = 0").select(F.col("x").alias("word"), "n", "t")
     distinct, n, t = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    top = words.orderBy(F.desc("n"), "word").limit(1 << bits).toArrow()
+    floor, room = 1 << 62, 1 << bits  # words of at least `floor` occurrences fit in the room
+    step = F.floor(F.log2("n") * 32)
+    for _, many, low in sorted(words.groupBy(step.alias("step")).agg(F.count("*"), F.min("n")).collect(), reverse=True):
+        room -= many
+        if room < 0:
+            break
+        floor = low
+    top = words.where(F.col("n") >= floor).toArrow()
     known = top.column("word").to_numpy().astype(np.int64).view(U64)
     order = np.argsort(known)
     often = counts.where("kind = 1").where(F.col("n") >= n * share / 2).select("x", "y").toArrow()  # 2 / share rows at most
