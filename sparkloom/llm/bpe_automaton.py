@@ -1,14 +1,20 @@
-"""BPE as a tokenization automaton: encode by transitions, decode by emitting arc labels.
+"""BPE as a tokenization automaton: encode by table-driven transitions, decode by emitting arc labels.
 
-States are tokens (the last one read) and arcs are tokens too.  The automaton starts with every
+The token automaton has the tokens as states (the last one read) and as arcs.  It starts with every
 base token allowed after every other.  Merge number m, (u, v) -> uv, is one gadget: a state uv that
 copies the arcs of v, an arc to uv wherever there is one to u, and no arc v at u any more.  A token
 sequence is an encoding exactly if the automaton accepts it, and each prefix of a word ends in
-exactly one state, so a word is read from left to right without search.
+exactly one state.
 
-The full arc table has (vocabulary size)**2 entries.  The gadgets are therefore kept as they were
-applied (`born`, `left`, `right`, `cut`), and an arc is filled into the table when it is first
-asked for, by following the copies back to the gadget that made or cut it.
+Read letter by letter this is a deterministic automaton.  Its state is the longest end of the prefix
+that a token could still begin with, and the token that ends at each place of that end; a letter
+leads to the one token that ends with it and may follow, and so to the next state.  Encoding a word
+is one table entry per letter and a walk back over the tokens.
+
+Both tables are compiled as they are met: of the token automaton the full table has (vocabulary
+size)**2 arcs, and an arc is filled in by following the copies back to the gadget that made or cut it;
+the letter table is filled in by the first word that takes a transition.  Each is bounded and starts
+again when full.
 """
 
 from __future__ import annotations
@@ -25,8 +31,11 @@ from pyspark.sql import DataFrame
 from sparkloom.llm.batches import with_text_columns
 
 END = "</w>"
-#: Words kept with their encodings in one Python worker, in each of two generations.
-CACHE_WORDS = 150_000
+#: Bytes of words and their encodings that one Python worker keeps, in each of two generations; longer
+#: words than CACHE_WORD letters are not kept.  Entries of the letter table and of the arc table.
+CACHE_BYTES, CACHE_WORD, TABLE, ARCS = 48 << 20, 256, 1_000_000, 1_000_000
+#: What a kept word takes besides its letters and encodings.
+_ENTRY = 300
 
 
 def byte_letters() -> list[str]:
@@ -36,8 +45,25 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-_LETTERS = {b: c for b, c in enumerate(byte_letters())}
+_BYTES = {c: b for b, c in enumerate(byte_letters())}
+#: Fixed values, for equal results: letters and numbers of later Unicode versions than the vocabulary's
+#: library has, which it takes for symbols; and capitals that it lowers beyond Python's tables.
+_LATER = (
+    "\u0558 \u058b-\u058c \u088f \u0c5c \u0cdc \u208f \u209d-\u209f \ua7ce-\ua7cf \ua7d2 \ua7d4 \ua7dd \ua7e2 \ua7f1 \uab6c-\uab6d "
+    "\U000107bb-\U000107bf \U00010940-\U00010959 \U00010ec5-\U00010ec7 \U00010ed9-\U00010eee \U00011b0a \U00011db0-\U00011ddb \U00011de0-\U00011de9 \U00011df1 "
+    "\U0001246f \U00012475-\U0001247f \U00012550-\U00012686 \U00016ea0-\U00016eb8 \U00016ebb-\U00016ed3 \U00016ff2-\U00016ff6 \U000187f8-\U000187ff "
+    "\U00018cd6-\U00018cda \U00018d09-\U00018d20 \U00018d80-\U00018df2 \U00018e00-\U00019191 \U000191a0-\U000191d2 \U0001b123-\U0001b128 \U0001b168 \U0001d6a6 "
+    "\U0001df1f-\U0001df24 \U0001df2b-\U0001df81 \U0001df90-\U0001df96 \U0001dfcd-\U0001dfff \U0001e6c0-\U0001e6de \U0001e6e0-\U0001e6e2 \U0001e6e4-\U0001e6e5 "
+    "\U0001e6e7-\U0001e6ed \U0001e6f0-\U0001e6f4 \U0001e6fe-\U0001e6ff \U0002b73a-\U0002b73f \U0002b81e \U0002cea2-\U0002cead \U000323b0-\U00033479 \U0003d000-\U0003fc3f"
+).split()
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LOWERED = frozenset(map(chr, _LOWER))
+_LATER_SET = frozenset(chr(c) for r in _LATER for c in range(ord(r[0]), ord(r[-1]) + 1))
+
 
+#: In place of a token: the start of the word, and no token.
+START, NONE = -2, -1
 
 
 class MergeAutomaton:
@@ -57,15 +83,27 @@ class MergeAutomaton:
             if m <= max(self.born[a], self.born[b]):
                 raise ValueError(f"a part of {u + v!r} is made after it")
             self.born[ab], self.left[ab], self.right[ab], self.cut[a * size + b] = m, a, b, m
-        self.longest = max(map(len, ids), default=1)
         self.arcs: dict[int, bool] = {}
+        # Letters are bytes from here on; a token that ends a word has the end mark's number after them.
+        self.tokens = {tuple(map(_BYTES.__getitem__, t[: -len(END)] if t.endswith(END) else t)) + (256,) * t.endswith(END): i for t, i in ids.items() if all(c in _BYTES for c in t.removesuffix(END))}
+        self.sizes = [0] * size
+        for letters, i in self.tokens.items():
+            self.sizes[i] = len(letters) - (letters[-1:] == (256,))
+        self.begins = {t[:k] for t in self.tokens for k in range(len(t))}
+        self._restart()
+
+    def _restart(self):
+        """The letter table with its first state only: nothing read, and before it the start of the word."""
+        self.states, self.numbers, self.last = [((), (START,))], {((), (START,)): 0}, [START]
+        self.table: dict[int, int] = {}
+        self.final: dict[int, int] = {}
 
     def allows(self, x: int, y: int) -> bool:
         """Is there an arc y at state x, after all gadgets?"""
         key = x * self.size + y
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) >= ARCS:
                 self.arcs.clear()
             found = self.arcs[key] = self._trace(x, y, len(self.labels) + len(self.cut))
         return found
@@ -85,24 +123,56 @@ class MergeAutomaton:
             else:
                 return True
 
-    def encode(self, word: str) -> list[int]:
-        """Token ids of one word, given in byte letters; its last token has the end mark."""
-        n, ids, arcs, size = len(word), self.ids, self.arcs, self.size
-        state, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            end = END if i == n else ""
-            for j in range(i - 1, max(0, i - self.longest) - 1, -1):  # one fits at most; most are short
-                token = ids.get(word[j:i] + end)
-                if token is not None and (not j or (before := state[j]) >= 0 and (arc if (arc := arcs.get(before * size + token)) is not None else self.allows(before, token))):
-                    state[i], back[i] = token, j
-                    break
-        out = []
-        while n:
-            if state[n] < 0:
+    def _token(self, state: int, letter: int, end: bool) -> int:
+        """The token that ends with the letter after the state; NONE if the vocabulary has none."""
+        read, chain = self.states[state]
+        read += (letter, 256) if end else (letter,)
+        for k in range(len(chain) - 1, -1, -1):
+            token = self.tokens.get(read[k:])
+            if token is not None and (chain[k] == START or chain[k] != NONE and self.allows(chain[k], token)):
+                return token
+        return NONE
+
+    def _step(self, state: int, letter: int) -> int:
+        """The state after the letter, from now on in the table."""
+        token = self._token(state, letter, False)
+        read, chain = self.states[state]
+        read, chain = read + (letter,), chain + (token,)
+        while read not in self.begins:
+            read, chain = read[1:], chain[1:]
+        new = (read, chain)
+        number = self.numbers.get(new)
+        if number is None:
+            number = self.numbers[new] = len(self.states)
+            self.states.append(new)
+            self.last.append(token)
+        self.table[state << 8 | letter] = number
+        return number
+
+    def encode(self, word: bytes) -> list[int]:
+        """Token ids of one word; its last token has the end mark."""
+        if not word:
+            return []
+        if len(self.table) + len(self.final) > TABLE:
+            self._restart()
+        table, state, path = self.table, 0, []
+        for letter in word[:-1]:
+            following = table.get(state << 8 | letter)
+            state = following if following is not None else self._step(state, letter)
+            path.append(state)
+        key = state << 8 | word[-1]
+        token = self.final.get(key)
+        if token is None:
+            token = self.final[key] = self._token(state, word[-1], True)
+        out, at, sizes, last = [], len(word), self.sizes, self.last
+        while True:
+            if token == NONE:
                 raise ValueError(f"the vocabulary lacks a letter of {word!r}")
-            out.append(state[n])
-            n = back[n]
-        return out[::-1]
+            out.append(token)
+            at -= sizes[token]
+            if not at:
+                return out[::-1]
+            token = last[path[at - 1]]
 
 
 class WordCoder:
@@ -116,8 +186,10 @@ class WordCoder:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if not t["normalized"]}
         self.labels |= {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        # Letters and numbers are those of the regex module's Unicode tables.
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+        self.words = regex.compile(pattern)
+        later = "[" + "".join(_LATER) + "]"
+        self.older = regex.compile(pattern.replace(r"\p{L}+", rf"(?:(?!{later})\p{{L}})+").replace(r"|\p{N}|", rf"|(?!{later})\p{{N}}|").replace(r"[^\p{White_Space}\p{L}\p{N}]+", rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|{later})+"))
         coder = self
 
         class Ids(dict):
@@ -129,19 +201,22 @@ class WordCoder:
                 return coder._learn(word)[1]
 
         self.id_text, self.label_text = Ids(), Labels()
-        self.old_ids, self.old_labels = {}, {}
+        self.old_ids, self.old_labels, self.kept = {}, {}, 0
 
     def _learn(self, word: str) -> tuple[str, str]:
-        if len(self.id_text) >= CACHE_WORDS:
-            self.old_ids, self.old_labels = dict(self.id_text), dict(self.label_text)
-            self.id_text.clear()
-            self.label_text.clear()
         a = self.old_ids.get(word)
         if a is None:
-            ids = self.automaton.encode(word.encode().decode("latin-1").translate(_LETTERS))
+            ids = self.automaton.encode(word.encode())
             a, b = " ".join(map(str, ids)), self.decode(ids)
         else:
             b = self.old_labels[word]
+        if len(word) > CACHE_WORD:
+            return a, b
+        self.kept += _ENTRY + 4 * len(word) + len(a) + 4 * len(b)
+        if self.kept > CACHE_BYTES:
+            self.old_ids, self.old_labels, self.kept = dict(self.id_text), dict(self.label_text), 0
+            self.id_text.clear()
+            self.label_text.clear()
         self.id_text[word], self.label_text[word] = a, b
         return a, b
 
@@ -153,6 +228,10 @@ class WordCoder:
         """Words of a text without special tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() has a rule for the last letter
+            if not _LOWERED.isdisjoint(text):
+                text = text.translate(_LOWER)
+            if not _LATER_SET.isdisjoint(text):
+                return self.older.findall(text.lower())
         return self.words.findall(text.lower())
 
     def parts(self, text: str):

@@ -67,7 +67,7 @@ def test_gadgets_against_plain_merges(seed):
             assert [automaton.allows(x, y) for y in range(len(ids))] == arcs[x].tolist()
     for _ in range(300):
         word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
-        assert automaton.encode(word) == greedy(word, ids, merges)
+        assert automaton.encode(word.encode()) == greedy(word, ids, merges)
 
 
 def test_bpe_equals_the_library(spark, sf, odd_docs, no_docs):
@@ -76,10 +76,10 @@ def test_bpe_equals_the_library(spark, sf, odd_docs, no_docs):
     library, coder = Tokenizer.from_file(PATH), WordCoder(json.load(open(PATH)))
     rng = random.Random(1)
     pool = ["hello", "<|endoftext|>", "<|startoftext|>", "<|", "ΣΑΣ", "İstanbul", "é", "é", "'s", "DON'T", "12345", "日本語", "aaaa", "!!!???", " ", "\x1c", "\x85", "ß", "ﬁ", "㎏", "\n", "😀😀", "_a_", "ǅ"]
-    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + ["a" + chr(c) + "b" for c in range(1, 0x3000) if unicodedata.category(chr(c)) != "Cn"]
-    for t in texts:
-        ids = library.encode(t, add_special_tokens=False).ids
-        assert coder.texts(t) == (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), t
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + ["a" + chr(c) * 2 + "b" for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c > 0xA000 and unicodedata.category(chr(c)) in ("Cn", "Lu", "Ll", "Mn", "No"))]
+    texts += ["x" * 3000 + "Y" * 2000, "ab" * 700 + " " + "é" * 900]
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert coder.texts(t) == (" ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False)), t
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for r in encode_documents(docs, PATH, keep_ids=True, keep_decoded=True).collect():
         ids = library.encode(r.text, add_special_tokens=False).ids
@@ -89,6 +89,21 @@ def test_bpe_equals_the_library(spark, sf, odd_docs, no_docs):
     assert encode_documents(no_docs, PATH).collect() == []
 
 
+def test_caches_are_bounded_and_change_nothing(monkeypatch):
+    from sparkloom.llm import bpe_automaton
+
+    spec = json.load(open(PATH))
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 14))) for _ in range(4000)] + ["z" * 5000]
+    want = [WordCoder(spec).texts(w) for w in words[:1]] and [c.texts(w) for c in [WordCoder(spec)] for w in words]
+    monkeypatch.setattr(bpe_automaton, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(bpe_automaton, "TABLE", 500)
+    monkeypatch.setattr(bpe_automaton, "ARCS", 50)
+    coder = WordCoder(spec)
+    assert [coder.texts(w) for w in words] == want
+    assert len(coder.id_text) + len(coder.old_ids) < 200 and max(map(len, coder.id_text)) <= bpe_automaton.CACHE_WORD and len(coder.automaton.arcs) <= 50
+
+
 def test_quality_by_brute_force(spark, odd_docs, no_docs):
     for r in compression_quality.quality(odd_docs).collect():
         t = r.text or ""
