@@ -2,10 +2,13 @@
 
 Every training text is cut into overlapping passages that are long enough to hold any item, and each
 passage is a query.  An item's score is divided by the score it gives itself, so one threshold fits
-all.  Retrieval is block-max WAND in columns: items lie in blocks of ``BLOCK``; a (passage, block)
-pair is opened only if the block's summed term maxima, plus all that the common terms could add,
-reach the threshold; only items of opened blocks get their exact score.  Nothing above the threshold
-is left out.  What is retrieved is verified word by word.
+all.  Retrieval is block-max WAND in columns: items lie in blocks of ``BLOCK``, and a term's postings in
+runs of a block each with their largest impact.  The runs' maxima, plus all that the common terms
+could add, bound a (passage, block) pair; only where that reaches the threshold are the runs opened,
+the postings of all others are never read.  Nothing above the threshold is left out.  What is
+retrieved is verified word by word.
+
+Document frequencies and the mean length are those of all items, however many indexes hold them.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.batches import ALNUM, slices, words
 from sparkloom.llm.hashing import U64, word_keys
 from sparkloom.llm.shingles import combine
-from sparkloom.llm.store import bounded_batches
+from sparkloom.llm.store import bounded_batches, materialize
 
 K1, B = 1.2, 0.75
 #: Least normalised BM25 score, least overlap of shingles and of question and answer words.
@@ -60,36 +63,51 @@ def hashed(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+class Statistics:
+    """Number of items, their mean and largest length, and how many hold each term."""
+
+    def __init__(self, items: int, mean: float, longest: int, terms: np.ndarray, df: np.ndarray):
+        order = np.argsort(terms)
+        self.items, self.mean, self.longest, self.terms, self.df = items, mean, longest, terms[order], df[order]
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, terms)]
+
+
 class ItemIndex:
     """Postings with normalised impacts, block maxima, and what verification needs."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], statistics: Statistics | None = None):
         split = [split_item(t) for t in texts]
         self.words = hashed(texts)
         self.question = [np.unique(h) for h in hashed([q for q, _ in split])]
         self.answer = [np.unique(h) for h in hashed([a for _, a in split])]
         self.ids, n = ids, len(ids)
-        self.span = max([SHINGLE, *map(len, self.words)])
         self.shingles = [np.unique(combine(h, SHINGLE)) if len(h) >= SHINGLE else np.unique(combine(h, max(1, len(h)))) for h in self.words]
         item = np.repeat(np.arange(n), [len(h) for h in self.words])
         pairs, tf = np.unique(np.stack([np.concatenate([*self.words, np.zeros(0, U64)]), item.astype(U64)]), axis=1, return_counts=True)
         self.terms, term, df = np.unique(pairs[0], return_inverse=True, return_counts=True)
         item = pairs[1].astype(np.int64)
         length = np.array([len(h) for h in self.words], float)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(1.0, length.mean() if n else 1.0)))
+        if statistics is None:
+            statistics = Statistics(n, float(length.mean()) if n else 1.0, int(length.max(initial=0)), self.terms, df)
+        self.span = max(SHINGLE, statistics.longest)
+        df, every = statistics.of(self.terms), statistics.items
+        idf = np.log(1 + (every - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(1.0, statistics.mean)))
         own = np.bincount(item, impact, n)
         impact /= np.maximum(own[item], 1e-12)
         # Terms in more than COMMON of the items, but never an item's majority, only bound what they could add.
-        self.common = df > max(3, COMMON * n)
+        self.common = df > max(3, COMMON * every)
         self.extra = np.bincount(item[self.common[term]], impact[self.common[term]], n)
         self.term, self.item, self.impact = term, item, impact
         self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
-        block = item // BLOCK
-        key, inverse = np.unique(term * (n // BLOCK + 1) + block, return_inverse=True)
-        top = np.zeros(len(key))
-        np.maximum.at(top, inverse, impact)
-        self.b_term, self.b_block, self.b_top = key // (n // BLOCK + 1), key % (n // BLOCK + 1), top
+        # Postings lie by term and item, so each run of a term and block is one range of them.
+        block, blocks = item // BLOCK, n // BLOCK + 1
+        key, self.run = np.unique(term * blocks + block, return_index=True)
+        self.run = np.r_[self.run, len(term)]
+        self.b_term, self.b_block = key // blocks, key % blocks
+        self.b_top = np.maximum.reduceat(impact, self.run[:-1]) if len(key) else np.zeros(0)
         self.b_first = np.searchsorted(self.b_term, np.arange(len(self.terms) + 1))
         self.b_extra = np.zeros(n // BLOCK + 1)
         np.maximum.at(self.b_extra, np.arange(n) // BLOCK, self.extra)
@@ -112,16 +130,16 @@ class ItemIndex:
         """(passage, item, score) above SCORE, for distinct (passage, term) pairs."""
         rare = ~self.common[term]
         p, t = passage[rare], term[rare]
-        own, at = self._expand(self.b_first, t)
+        own, run = self._expand(self.b_first, t)
         blocks = len(self.b_extra)
-        key, inverse = np.unique(p[own] * blocks + self.b_block[at], return_inverse=True)
-        bound = np.bincount(inverse, self.b_top[at], len(key)) + self.b_extra[key % blocks] if len(key) else np.zeros(0)
-        opened = key[bound >= SCORE - 1e-9]
-        own, at = self._expand(self.first, t)
-        keep = np.isin(p[own] * blocks + self.item[at] // BLOCK, opened)
+        key, inverse = np.unique(p[own] * blocks + self.b_block[run], return_inverse=True)
+        bound = np.bincount(inverse, self.b_top[run], len(key)) + self.b_extra[key % blocks] if len(key) else np.zeros(0)
+        opened = np.flatnonzero((bound >= SCORE - 1e-9)[inverse]) if len(key) else np.zeros(0, np.int64)
+        which, at = self._expand(self.run, run[opened])
+        p = p[own[opened]][which]
         n = len(self.ids)
-        key, inverse = np.unique(p[own[keep]] * n + self.item[at[keep]], return_inverse=True)
-        score = np.bincount(inverse, self.impact[at[keep]], len(key)) if len(key) else np.zeros(0)
+        key, inverse = np.unique(p * n + self.item[at], return_inverse=True)
+        score = np.bincount(inverse, self.impact[at], len(key)) if len(key) else np.zeros(0)
         close = score + self.extra[key % max(1, n)] >= SCORE - 1e-9
         out = []
         for k, s in zip(key[close].tolist(), score[close].tolist(), strict=True):
@@ -149,7 +167,20 @@ class ItemIndex:
         return share(self.shingles[item], combine(h, k)), share(self.question[item], h), share(self.answer[item], h)
 
 
-def _search(index: ItemIndex):
+def _terms(batches):
+    """(part, term, items that hold it, 0, 0), and one row a batch and part with the number of items and of words."""
+    for batch in batches:
+        part = batch.column("part").to_numpy(zero_copy_only=False)
+        for i, j, h, row in _words(batch.column("text")):
+            pairs = np.unique(np.stack([h, row.astype(U64)]), axis=1)
+            owner = part[i + pairs[1].astype(np.int64)]
+            held, n = np.unique(np.stack([owner, pairs[0].view(np.int64)]), axis=1, return_counts=True)
+            zero = np.zeros(len(n), np.int64)
+            columns = [np.r_[held[0], part[i : i + 1]], np.r_[held[1], 0], np.r_[n, 0], np.r_[zero, j - i], np.r_[zero, len(h)], np.r_[zero, np.bincount(row, minlength=1).max()]]
+            yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], names=["part", "term", "n", "items", "words", "longest"])
+
+
+def _search(index: ItemIndex, id_type: pa.DataType):
     span = index.span
 
     def go_slice(i, h, row):
@@ -173,6 +204,7 @@ def _search(index: ItemIndex):
             a = max(0, (q - int(bases[r]) - 1) * span)
             part = h[starts[r] + a : min(starts[r + 1], starts[r] + a + (2 if q > bases[r] else 1) * span)]
             found = index.verify(item, part)
+            score = round(score, 9)  # the order of a sum decides nothing
             if min(found if len(index.answer[item]) >= ANSWER else found[:2]) >= OVERLAP:
                 key = (i + r, item)
                 if key not in best or (score, -a) > (best[key][3], -best[key][2]):
@@ -185,7 +217,7 @@ def _search(index: ItemIndex):
             for i, _, h, row in _words(batch.column(1)):
                 rows += go_slice(i, h, row)
             yield pa.record_batch(
-                [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.ids[r[1]] for r in rows], pa.int64())]
+                [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.ids[r[1]] for r in rows], id_type)]
                 + [pa.array([r[2] for r in rows], pa.int64())]
                 + [pa.array([float(r[k]) for r in rows], pa.float64()) for k in (3, 4, 5, 6)],
                 names=["_id", "item_id", "first_word", "score", "overlap", "question_overlap", "answer_overlap"],
@@ -199,27 +231,38 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     passage (ties: the earliest), score, overlap, question_overlap, answer_overlap.
 
     Items of null, empty or wordless text match nothing; null and empty texts hold nothing.  Rows that
-    repeat give rows that repeat; items that repeat are found each.  Items are taken ITEMS at a time,
-    so an index is bounded; the texts are read once for each such part, never shuffled.
+    repeat give rows that repeat; items that repeat are found each; item ids may be of any type.  Items
+    are taken ITEMS at a time, so an index is bounded; the texts are read once for each such part,
+    never shuffled, and scores do not depend on the parts.
     """
     bounded_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"))
-    wanted = items.select(F.col(f"`{item_id_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null and text rlike '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]'")
+    wanted = items.select(F.col(f"`{item_id_col}`").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null and text rlike '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]'")
     parts = max(1, math.ceil(wanted.count() / ITEMS))
-    schema = f"_id {kind}, item_id long, first_word long, score double, overlap double, question_overlap double, answer_overlap double"
+    numbered = wanted.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    terms = numbered.mapInArrow(_terms, "part long, term long, n long, items long, words long, longest long")
+    whole = terms.agg(F.sum("items"), F.sum("words"), F.max("longest")).first() if parts > 1 else None
+    df = materialize(terms.where("n > 0").groupBy("term").agg(F.sum("n").alias("n")), "frequencies") if parts > 1 else None
+    schema = f"_id {kind}, item_id {item_kind}, first_word long, score double, overlap double, question_overlap double, answer_overlap double"
     out = None
     for part in range(parts):
-        some = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(some.column("item_id").to_pylist(), some.column("text").to_pylist()))
-        found = rows.mapInArrow(lambda batches, shared=shared: _search(shared.value)(batches), schema)
+        some = numbered.where(F.col("part") == part).orderBy("item_id", "text").toArrow()
+        statistics = None
+        if parts > 1:  # of the part's own terms, so bounded as the part is
+            held = df.join(terms.where((F.col("part") == part) & (F.col("n") > 0)).select("term").distinct(), "term", "left_semi").toArrow()
+            statistics = Statistics(whole[0], whole[1] / max(1, whole[0]), whole[2], held.column("term").to_numpy().astype(np.int64).view(U64), held.column("n").to_numpy())
+        index = ItemIndex(some.column("item_id").to_pylist(), some.column("text").to_pylist(), statistics)
+        shared = spark.sparkContext.broadcast((index, some.schema.field("item_id").type))
+        found = rows.mapInArrow(lambda batches, shared=shared: _search(*shared.value)(batches), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("_id", id_col)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that hold no test item, columns as they are; rows of a null id are judged by their own text."""
-    from sparkloom.llm.store import materialize, row_ids
+    from sparkloom.llm.store import row_ids
 
     names = docs.columns
     text_col = options.get("text_col", "text")

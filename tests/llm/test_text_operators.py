@@ -316,6 +316,16 @@ def test_contamination_with_an_edited_short_answer(spark):
     assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (6, 2)}
 
 
+def test_contamination_does_not_depend_on_the_parts(spark, sf, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    named = items.selectExpr("concat('item ', item_id) as item_id", "text")
+    rows = lambda: sorted(tuple(r) for r in decontaminate.contaminated(docs, named).collect())
+    want = rows()
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    got = rows()
+    assert want and [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
 def test_retrieval_is_exact(spark, sf):
     """Block-max retrieval finds what scoring every item finds."""
     rng = random.Random(4)
@@ -332,6 +342,7 @@ def test_retrieval_is_exact(spark, sf):
             a, b = index.first[t], index.first[t + 1]
             score[index.item[a:b]] += index.impact[a:b]
         got = {i: s for _, i, s in index.retrieve(np.zeros(len(terms), int), terms)}
+        assert all((index.item[a:b] // decontaminate.BLOCK == q).all() and (index.term[a:b] == t).all() for a, b, q, t in zip(index.run[:-1], index.run[1:], index.b_block, index.b_term, strict=True))
         assert {i for i in range(150) if score[i] >= decontaminate.SCORE + 1e-9} <= set(got) <= {i for i in range(150) if score[i] >= decontaminate.SCORE - 1e-9}
         assert all(abs(got[i] - score[i]) < 1e-9 for i in got)
         found += len(got)
