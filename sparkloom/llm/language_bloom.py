@@ -33,8 +33,13 @@ _FOLD[65:91] = np.arange(97, 123)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram value, row) of every n-gram within a row; those that begin with two blanks are left out."""
-    low = _FOLD[data].astype(np.uint32)
+    """(n-gram value, row) of every n-gram within a row, with a blank before and after it; those that
+    begin with two blanks are left out.  A row of two bytes has one n-gram, an empty row none."""
+    sizes = np.diff(offsets)
+    first = offsets[:-1] + 2 * np.arange(len(sizes))
+    low = np.full(len(data) + 2 * len(sizes), 32, np.uint32)
+    low[np.arange(len(data)) + np.repeat(first + 1 - offsets[:-1], sizes)] = _FOLD[data]
+    offsets = np.r_[first, len(low)]
     n = len(low) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -101,7 +106,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         return LanguageFilter([], [])
     bounded_batches(docs.sparkSession)
     rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    chosen = known.where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1e6) < rate[F.col("lang")]).select("lang", "text")
+    chosen = known.where(F.xxhash64("id") / F.lit(2.0**64) + 0.5 <= rate[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -130,7 +135,8 @@ def identify(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text",
     """docs with lang_pred string and score double.
 
     Texts that are null or have no letter are `und` with score 0, as are all texts where nothing was
-    learned.  Only the text is looked at, the whole of it; equal texts get equal results; an empty
+    learned.  Where languages tie, also where no n-gram is known (score 0), the first of them by name
+    is taken.  Only the text is looked at, the whole of it; equal texts get equal results; an empty
     table gives an empty one; columns named like a result are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # cells x 8 bytes for each 64 languages

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.batches import with_text_columns
+from sparkloom.llm.store import materialize, release
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -172,7 +173,8 @@ class UrlModel:
 
 
 def labelled_sample(pages: DataFrame, url_col: str = "url", rules=RULES, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Up to about `sample` urls that a rule decides (1: block), chosen by a hash of the url."""
+    """About `sample` distinct urls at most that a rule decides (1: block), chosen by a hash of the url
+    among all such urls, so neither frequent urls nor those without a rule change the bound."""
     held = Rules(rules)
 
     def label(batches):
@@ -182,9 +184,12 @@ def labelled_sample(pages: DataFrame, url_col: str = "url", rules=RULES, sample:
             keep = [k for k, v in enumerate(verdicts) if v]
             yield pa.record_batch([pa.array([urls[k] for k in keep], pa.string()), pa.array([int(verdicts[k] == "block") for k in keep], pa.int32())], names=["url", "label"])
 
-    rows = pages.select(F.col(f"`{url_col}`").alias("url")).where("url is not null")
-    n = max(1, rows.count())
-    chosen = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < F.lit(min(1.0, sample / n) * 1e6)).mapInArrow(label, "url string, label int").orderBy("url").toArrow()
+    rows = pages.select(F.col(f"`{url_col}`").alias("url")).where("url is not null").distinct()
+    labelled = materialize(rows.mapInArrow(label, "url string, label int"), "labelled")
+    n = max(1, labelled.count())
+    place = (F.xxhash64("url") / F.lit(2.0**64)) + 0.5  # evenly in 0 to 1
+    chosen = labelled.where(place <= min(1.0, sample / n)).toArrow().sort_by("url")
+    release(labelled)
     return chosen.column("url").to_pylist(), chosen.column("label").to_pylist()
 
 
@@ -192,7 +197,7 @@ def judge(pages: DataFrame, model: UrlModel, *, url_col: str = "url", rules=RULE
     """pages with host, path, rule, verdict and score (the trees' probability of block).
 
     A null url or one without :// has an empty host and path and, as no rule fits it, the trees'
-    verdict.  Equal urls get equal verdicts; an empty table gives an empty one; other columns pass
+    verdict.  Equal urls get equal verdicts, urls of any length are judged whole; an empty table gives an empty one; other columns pass
     through, those named like a result are replaced.
     """
     shared = pages.sparkSession.sparkContext.broadcast((model, Rules(rules)))  # fixed size: trees, and suffixes of the sample

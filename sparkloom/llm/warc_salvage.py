@@ -78,11 +78,7 @@ def _differs(declared: str | None, raw: bytes) -> bool:
 
 
 class Damaged(ValueError):
-    """A record that fails a check; `end` is where it ends if its frame holds."""
-
-    def __init__(self, why: str, end: int | None = None):
-        super().__init__(why)
-        self.end = end
+    """A record that fails a check.  Its length is not trusted either: the next one is searched for."""
 
 
 def parse_record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -107,12 +103,12 @@ def parse_record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("no end mark")
     block = raw[begin:end]
     if _differs(headers.get("warc-block-digest"), block):
-        raise Damaged("block digest", end + 4)
+        raise Damaged("block digest")
     head, blank, payload = block.partition(b"\r\n\r\n")
     if not blank:
         payload = block
     if headers.get("warc-type") == "response" and _differs(headers.get("warc-payload-digest"), payload):
-        raise Damaged("payload digest", end + 4)
+        raise Damaged("payload digest")
     return headers, payload, end + 4
 
 
@@ -143,10 +139,8 @@ def _inner(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str]:
             headers, payload, at = parse_record(content, at)
             found.append((headers, payload))
         except Damaged as e:
-            following = e.end
-            if following is None:
-                m = _VERSION.search(content, at + 1)
-                following = m.start() if m else len(content)
+            m = _VERSION.search(content, at + 1)
+            following = m.start() if m else len(content)
             if content[at:following].strip(b"\r\n"):
                 why = why or str(e)
             at = following
@@ -183,7 +177,7 @@ def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, b
                 else:
                     reason = "record of a broken member"
             except Damaged as e:
-                end, reason = e.end or search(at), str(e)
+                end, reason = search(at), str(e)
         if not found and (reason or bad is not None):
             if bad is None:
                 bad, why = at, reason
@@ -233,15 +227,17 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     Of records with equal payloads of at least min_bytes, the one with the smallest id is a response
     and those with larger ids revisit it.  A null payload is empty; rows that repeat that smallest id
     are responses too; a null id has no record id, revisits where another row of the group has an id,
-    and is a response otherwise.  The files pass through Spark's text writer, so any store that
+    and is a response otherwise.  Pages of any length are one record each, and other columns of the pages
+    are not looked at, whatever their names.  The files pass through Spark's text writer, so any store that
     Spark can write to will do.
     """
     raw = F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), raw.alias("body")).withColumn("sha", F.sha1("body"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), raw.alias("body"))
+    rows = rows.withColumn("sha", F.sha1("body")).withColumn("same", F.sha2("body", 256))  # SHA-1 is declared, SHA-256 decides what is equal
     large = F.length("body") >= min_bytes
-    shared = materialize(rows.where(large).select("sha", "id").groupBy("sha").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("sha", "first"), "payloads")
+    shared = materialize(rows.where(large).select("same", "id").groupBy("same").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("same", "first"), "payloads")
     refers = F.when(large & F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first"))), F.col("first"))
-    blobs = rows.join(shared, "sha", "left").select("id", "url", "body", "sha", refers.alias("refers")).mapInArrow(_pack(archive_bytes, compress), "blob binary")
+    blobs = rows.join(shared, "same", "left").select("id", "url", "body", "sha", refers.alias("refers")).mapInArrow(_pack(archive_bytes, compress), "blob binary")
     # The writer ends each row with lineSep: the last two bytes of the record's own end mark.
     text = F.col("blob") if compress else F.expr("substring(blob, 1, length(blob) - 2)")
     blobs.select(text.cast("string").alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", 1).text(path)
@@ -252,7 +248,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     payload_digest (bare base32 SHA-1 of the full payload; null for a revisit that declares another), refers_to, payload and reason.
 
     Records that fail a check are not rows of kind 'record'; their bytes are in a gap with the reason.
-    An empty folder gives no rows; an empty file gives none either.
+    An empty folder gives no rows; an empty file gives none either.  A file is read whole by one task,
+    so it has to fit in a worker: write_archives makes files of about 16 MB.
     """
 
     def go(batches):

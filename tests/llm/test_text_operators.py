@@ -236,6 +236,39 @@ def test_salvage_inside_members():
             assert ids(record(5).replace(b"Payload-Digest: sha1:" + warc_salvage.sha1_base32(payload).encode(), f"Payload-Digest: {name}:{text}".encode()))[0] == want
 
 
+def test_salvage_does_not_trust_lengths():
+    """A forged length that ends at a later record's end mark hides none of the records between."""
+    import gzip
+
+    def record(i):
+        payload = random.Random(i).randbytes(300).hex().encode()
+        return warc_salvage.format_record(i, "u", payload, warc_salvage.sha1_base32(payload))
+
+    for bad in range(8):
+        for reach in range(1, 9 - bad):
+            records = [record(i) for i in range(9)]
+            length = re.search(rb"\nContent-Length: (\d+)", records[bad])
+            forged = int(length[1]) + sum(map(len, records[bad + 1 : bad + 1 + reach]))
+            records[bad] = records[bad].replace(length[0], b"\nContent-Length: %d" % forged)
+            raw = b"".join(records)
+            for archive, inner in ((raw, False), (gzip.compress(raw), True), (b"".join(map(gzip.compress, records)), False)):
+                parts = list(warc_salvage.salvage(archive))
+                got = [int(p[3]["warc-record-id"][10:-1]) for p in parts if p[0] == "record"]
+                assert got == [i for i in range(9) if i != bad]
+                spans = sorted({(p[1], p[2]) for p in parts})
+                assert spans[0][0] == 0 and spans[-1][1] == len(archive) and all(a[1] == b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
+                assert inner or sum(p[0] == "gap" for p in parts) == 1
+
+
+def test_archives_of_odd_pages(spark):
+    """Very long pages and columns with the names of results."""
+    rows = [(1, "u", "x" * 3_000_000, "a", "b"), (2, None, "x" * 3_000_000, None, "b"), (3, "v" * 70_000, "é\r\n\r\nWARC/1.1\r\n", "a", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, kind string, sha string")
+    for compress in (False, True):
+        got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc_salvage.round_trip(pages, compress=compress).collect())
+        assert got == [(1, 3_000_000, "response", None), (2, 3_000_000, "revisit", 1), (3, 16, "response", None)]
+
+
 @pytest.mark.parametrize(
     ("url", "parts", "rule"),
     [
@@ -248,6 +281,42 @@ def test_url_rules(url, parts, rule):
     assert url_trees.Rules().match(*parts)[0] == rule
 
 
+def test_url_sample_is_of_distinct_urls(spark):
+    """One url of most rows is learned from once, and the sample is bounded by labelled urls."""
+    rows = [("http://a.net/hot",)] * 5000 + [(f"http://b{i}.net/x{i}",) for i in range(600)] + [(f"http://c{i}.com/",) for i in range(600)] + [(None,), ("",), ("http://d.net/" + "y" * 100_000,)]
+    pages = spark.createDataFrame(rows, "url string")
+    urls, labels = url_trees.labelled_sample(pages)
+    assert len(urls) == len(set(urls)) == 602 and set(labels) == {1}
+    assert 0 < len(url_trees.labelled_sample(pages, sample=100)[0]) < 200
+    out = url_trees.judge(pages, url_trees.UrlModel(urls, labels)).collect()
+    assert len(out) == len(rows) and len({(r.verdict, r.score) for r in out if r.url == "http://a.net/hot"}) == 1
+
+
+def test_trees_by_brute_force():
+    """Each tree's splits are the best of all thresholds, and a prediction is the sum of its leaves."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 8, (300, 3)).astype(float)
+    y = ((x[:, 0] > 3) ^ (x[:, 1] > 5)).astype(float)
+    model = url_trees.Trees(trees=3, depth=2).fit(x, y)
+    score = np.full(300, model.start)
+    for split, value in model.nodes:
+        p = 1 / (1 + np.exp(-score))
+        g, h = p - y, p * (1 - p)
+        gain = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
+        node = np.zeros(300, int)
+        for k in range(len(split)):
+            rows = node == k
+            if rows.sum() < 10:
+                continue
+            best = max(gain(rows & (x[:, f] <= c)) + gain(rows & (x[:, f] > c)) for f in range(3) for c in range(8)) - gain(rows)
+            if split[k, 0] >= 0:
+                low = model._bin(x)[:, split[k, 0]] <= split[k, 1]
+                assert abs(gain(rows & low) + gain(rows & ~low) - gain(rows) - best) < 1e-6
+                node[rows] = 2 * k + 1 + ~low[rows]
+        score += value[node]
+    assert np.allclose(model.predict(x), 1 / (1 + np.exp(-score))) and np.mean((model.predict(x) > 0.5) == y) > 0.9
+
+
 def test_url_trees_on_held_out_urls(spark, sf):
     pages = spark.read.parquet(sf.replace("0.001", "0.1") + "/pages.parquet")
     urls, labels = url_trees.labelled_sample(pages)
@@ -289,6 +358,37 @@ def test_language_filter_has_no_false_negatives():
         assert counts[lang] == len(g) and model.decide(g, np.zeros(len(g), int), 1)[0][0] == lang
 
 
+def brute_language(texts, sets):
+    """(language, score) of each text by exact sets of n-grams: what a filter without false positives decides."""
+    for t in texts:
+        low = [b + 32 if 65 <= b < 91 else b if b > 127 or 97 <= b < 123 else 32 for b in (t or "").encode()]
+        low = [32, *low, 32]
+        g = [tuple(low[k : k + 4]) for k in range(len(low) - 3) if low[k : k + 2] != [32, 32]]
+        share = [(sum(x in s for x in g) / max(1, len(g)), lang) for lang, s in sorted(sets.items())]
+        best = max(s for s, _ in share)
+        yield next(lang for s, lang in share if s == best), best
+
+
+def test_language_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.where("crc32(cast(doc_id as string)) % 3 != 1 and lang is not null").collect()
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        low = [32, *(b + 32 if 65 <= b < 91 else b if b > 127 or 97 <= b < 123 else 32 for b in r.text.encode()), 32]
+        counts[r.lang].update(tuple(low[k : k + 4]) for k in range(len(low) - 3) if low[k : k + 2] != [32, 32])
+    sets = {lang: {g for g, n in c.items() if n >= language_bloom.LEAST} for lang, c in counts.items()}
+    model = language_bloom.fit(docs)
+    texts = ["A.", "Re.", "x", "1", "", None, "é", "zz top", "AB" * 30_000] + [r.text for r in docs.collect()]
+    got = language_bloom.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r, (lang, score) in zip(sorted(got, key=lambda r: r.doc_id), brute_language(texts, sets), strict=True):
+        if r.lang_pred == "und":
+            assert not any(c.isalpha() for c in r.text or "") and r.score == 0
+        else:
+            assert abs(r.score - score) < 0.02 and (r.lang_pred == lang or abs(dict((x, s) for s, x in [(next(brute_language([r.text], {k: v}))[1], k) for k, v in sets.items()])[r.lang_pred] - score) < 0.02)
+    tie = language_bloom.LanguageFilter(["a", "b"], [np.array([1], np.uint32)] * 2)
+    assert [r.lang_pred for r in language_bloom.identify(spark.createDataFrame([(1, "zzzz")], "doc_id int, text string"), tie).collect()] == ["a"]
+
+
 def test_contamination_by_brute_force(spark, sf, odd_docs, no_docs):
     docs, items = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
