@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +24,26 @@ from sparkloom.llm.hashing import word_keys
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The base labels: (label, phrase); a place counts where all words stand consecutively.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: The method's own: (label, template, key phrases).  All licence texts are quoted from their licences.
-TEMPLATES = (
-    ("gpl", "licensed under the gnu general public license version", ("gnu general public license",)),
-    ("lgpl", "licensed under the gnu lesser general public license version", ("gnu lesser general public license",)),
-    ("agpl", "licensed under the gnu affero general public license version", ("gnu affero general public license",)),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
-    ("cc0", "creative commons cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike license", ("creative commons attribution sharealike",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("mit", "released under the mit license", ("the mit license",)),
-    ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-)
+#: The method's own texts, (label, template, key phrases), beside the identifiers below.
+DATA = Path(__file__).with_name("licenses.txt")
+#: Short identifiers that stand after "SPDX-License-Identifier:", by label.
+IDENTIFIERS = (
+    ("mit", "MIT"), ("apache-2", "Apache-2.0"), ("bsd-2", "BSD-2-Clause"), ("bsd-3", "BSD-3-Clause"), ("isc", "ISC"), ("zlib", "Zlib"), ("boost", "BSL-1.0"), ("unlicense", "Unlicense"), ("wtfpl", "WTFPL"),
+    ("gpl-2", "GPL-2.0-only"), ("gpl-2", "GPL-2.0-or-later"), ("gpl-3", "GPL-3.0-only"), ("gpl-3", "GPL-3.0-or-later"), ("lgpl-2.1", "LGPL-2.1-only"), ("lgpl-2.1", "LGPL-2.1-or-later"), ("lgpl-3", "LGPL-3.0-only"),
+    ("lgpl-3", "LGPL-3.0-or-later"), ("agpl-3", "AGPL-3.0-only"), ("agpl-3", "AGPL-3.0-or-later"), ("mpl-2", "MPL-2.0"), ("epl-2", "EPL-2.0"), ("cc0", "CC0-1.0"), ("cc-by", "CC-BY-4.0"), ("cc-by-sa", "CC-BY-SA-4.0"), ("cc-by-nc", "CC-BY-NC-4.0"),
+)
+
+
+def templates() -> tuple[tuple[str, str, tuple[str, ...]], ...]:
+    """(label, template, key phrases) of the data file and of the identifiers."""
+    out: list[tuple[str, str, tuple[str, ...]]] = []
+    lines = [x for x in DATA.read_text(encoding="utf-8").splitlines() if x and not x.startswith("#")]
+    for head, text in zip(lines[::2], lines[1::2], strict=True):
+        label, keys = head[1:].split("]", 1)
+        out.append((label, text, tuple(k.strip() for k in keys.split(";"))))
+    return (*out, *((label, f"SPDX-License-Identifier: {x}", (f"SPDX-License-Identifier: {x}",)) for label, x in IDENTIFIERS))
+
+
 #: Index words for each template, the share of them that must agree, and how far words may shift.
 RARE, AGREE, SLACK = 6, 0.5, 3
 
@@ -61,15 +65,16 @@ def _hashes(items: list[str]) -> np.ndarray:
 class Index:
     """Postings of the rarest words of each template, looked up by word hash."""
 
-    def __init__(self, base=BASE, templates=TEMPLATES, rare: int = RARE):
+    def __init__(self, base=BASE, own=None, rare: int = RARE):
         self.entries = [(label, word_list(phrase), [word_list(phrase)], True) for label, phrase in base]
-        self.entries += [(label, word_list(text), [word_list(k) for k in keys], False) for label, text, keys in templates]
+        self.entries += [(label, word_list(text), [word_list(k) for k in keys], False) for label, text, keys in (templates() if own is None else own)]
         df = Counter(w for _, text, _, _ in self.entries for w in set(text))
         self.idf = {w: math.log(1 + len(self.entries) / n) for w, n in df.items()}
         postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.votes: list[float] = []
         for t, (_, text, keys, exact) in enumerate(self.entries):
             choice = sorted({w: k for k, w in reversed(list(enumerate(text)))}.items(), key=lambda x: (-self.idf[x[0]], x[1]))
+            choice = [x for x in choice if len(x[0]) > 2] or choice  # numbers and particles are everywhere
             chosen = {w for w, _ in choice[: 1 if exact else rare]}
             self.votes.append(sum(self.idf[w] for w in chosen))
             for k, w in enumerate(text):

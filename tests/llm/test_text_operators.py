@@ -151,12 +151,53 @@ def test_licenses_by_brute_force(spark, odd_docs, no_docs):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for x, _ in places})))
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
         if r.text and "GNU" in r.text:
-            assert r.labels == "gpl"
+            assert r.labels == "gpl-3"
         if r.text and "unencumbered" in r.text:
             assert r.labels == "unlicense"
     assert license_scan.scan_licenses(no_docs).collect() == []
 
 
+def test_license_texts_are_found(spark):
+    """Every text of the index under its own label, also with other words around and a few changed; the given names apart."""
+    own = license_scan.templates()
+    rng = random.Random(2)
+    other = lambda: " ".join("".join(rng.choice("bcdfg") for _ in range(5)) for _ in range(30))
+    texts = [f"{other()} {text} {other()}" for _, text, _ in own]
+    named = [
+        ("Mozilla Public License Version 2.0", "mpl-2"), ("Creative Commons Attribution-NonCommercial 4.0 International", "cc-by-nc"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"),
+        ("under the GNU Lesser General Public License, version 2.1", "lgpl-2.1"), ("GNU General Public License version 2", "gpl-2"), ("GNU General Public License, Version 3", "gpl-3"), ("# SPDX-License-Identifier: Apache-2.0", "apache-2"),
+        ("license version public general", ""), ("the permission to use software is granted", ""),
+    ]
+    df = spark.createDataFrame(list(enumerate([*texts, *(t for t, _ in named)])), "doc_id int, text string")
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    for k, (label, text, _) in enumerate(own):
+        assert label in rows[k].labels.split(","), (label, text, rows[k].labels)
+    for k, (text, label) in enumerate(named, len(own)):
+        assert rows[k].labels == label and (rows[k].score > 0) == bool(label), (text, rows[k].labels)
+
+
+def test_method_labels_by_brute_force(spark, sf):
+    """Places, votes and key phrases of every template at every word of every document."""
+    index = license_scan.Index()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    extra = [(-1 - k, f"x y z {t} q {t[: len(t) // 2]} mit") for k, (_, t, _) in enumerate(license_scan.templates())]
+    rows = license_scan.scan_licenses(docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))).collect()
+    for r in rows:
+        w = license_scan.word_list(r.text)
+        base = {label for label, p in license_scan.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()}
+        found = set()
+        for t, (label, text, keys, exact) in enumerate(index.entries):
+            chosen = {n: [k for x, k in index.postings[index.names.index(n)] if x == t] for n in index.names if any(x == t for x, _ in index.postings[index.names.index(n)])}
+            if exact or not set(chosen) & set(w):
+                continue
+            for s in {p - k for p, x in enumerate(w) for k in chosen.get(x, ())}:
+                agree = {n for n, places in chosen.items() if any(0 <= s + d + k < len(w) and w[s + d + k] == n for k in places for d in range(-license_scan.SLACK, license_scan.SLACK + 1))}
+                around = w[max(0, s - license_scan.SLACK) : max(0, s + len(text) + license_scan.SLACK)]
+                if sum(index.idf[n] for n in agree) >= license_scan.AGREE * index.votes[t] - 1e-9 and all(any(around[k : k + len(key)] == key for k in range(len(around))) for key in keys):
+                    found.add(label)
+        assert r.labels == ",".join(sorted(base | found)), r.doc_id
+
+
 def test_warc_round_trip(spark, sf):
     rows = [(1, "http://a/ b", "x\r\n\r\ny"), (3, None, "same"), (2, "u", "same"), (2, "v", "same"), (None, "w", "same"), (5, "z", None), (6, "q", ""), (7, "q", "é" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").unionByName(spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id + 100 as page_id", "url", "html"))
