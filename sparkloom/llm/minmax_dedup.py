@@ -5,8 +5,10 @@
 * Documents with equal sets form a class; only classes take part in what follows.
 * In each band bucket every class is compared with the bucket's smallest class (a star, linear in
   the bucket).  Classes that are still in different components of a bucket are then compared with
-  each other in blocks of ``block`` by ``block`` classes (fewer if their sets are large), so nothing a band proposes stays untested,
-  no bucket is capped and no bucket has to fit in one task.
+  each other in blocks of ``block`` by ``block`` classes (fewer if their sets are large), so nothing a band
+  proposes stays untested, no bucket is capped and no bucket has to fit in one task.  Before that a bucket
+  gets up to ``rounds`` more stars, each from the smallest class not yet asked of its largest component, and
+  of buckets that are left with the same classes one is compared.
 * A comparison looks at the sizes and at a parity sketch of 1,024 bits first (both exclude links
   with certainty), then at the sets.
 
@@ -170,7 +172,7 @@ def _blocks(percent: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: sizes and sketches first, full sets for the rest."""
+    """The pairs (a, b) that are links, as a written table: sizes and sketches first, full sets for the rest."""
     side = lambda c, *cols: sets.select(F.col("cid").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in cols]).hint("merge")
     light = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
     apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -179,11 +181,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     light = materialize(light, "candidates")
     full = light.join(side("a", "n", "members"), "a").join(side("b", "n", "members"), "b")
     common = F.size(F.array_intersect("a_members", "b_members"))
-    return full.withColumn("common", common).where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b")
+    found = materialize(full.withColumn("common", common).where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b"), "confirmed")
+    release(light)
+    return found
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 85, rows: int = 4, miss: float = 1e-9, block: int = 1024
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 85, rows: int = 4, miss: float = 1e-9, block: int = 1024, rounds: int = 2
 ) -> DataFrame:
     """(_uid, id, n_shingles, component_id, kept) for every row of docs.
 
@@ -210,14 +214,33 @@ def near_duplicates(
     sets = materialize(
         ids.join(wanted.withColumnRenamed("cid", "_uid").hint("merge"), "_uid").select("_uid", "text").mapInArrow(_sets(words), "cid long, n long, members array<long>, sketch array<long>"), "sets"
     )
-    star = materialize(_confirmed(materialize(members.select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct(), "star"), sets, percent), "confirmed")
+    pairs = materialize(members.select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct(), "star")
+    star = _confirmed(pairs, sets, percent)
+    release(buckets, wanted, pairs)
     first = connected_components(star)
-    labelled = materialize(
-        members.where("size > 2").join(first.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("component")), "labelled"
-    )
-    open_ = materialize(
-        labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("left"), F.sum("n").alias("weight")).where("low != high").select("key", "left", "weight"), "open"
-    )
+    rest = materialize(members.where("size > 2").select("key", "cid", "n"), "labelled")  # the pivot has been compared with all
+    release(members)
+    for turn in range(rounds + 1):
+        labelled = materialize(rest.join(first.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("component")), "labelled")
+        release(rest)
+        several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+        rest = materialize(labelled.join(several.hint("merge"), "key"), "open")
+        release(labelled)
+        if turn == rounds or not rest.limit(1).count():
+            break
+        largest = rest.groupBy("key", "component").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).groupBy("key").agg(F.max_by(F.struct("pivot", "component"), F.struct("size", "component")).alias("top"))
+        asked = materialize(rest.join(largest.hint("merge"), "key"), "asked")
+        pairs = materialize(asked.where("component != top.component").select(F.col("top.pivot").alias("a"), F.col("cid").alias("b")).distinct(), "star")
+        more = _confirmed(pairs, sets, percent)
+        rest = materialize(asked.where("cid != top.pivot").select("key", "cid", "n"), "labelled")
+        release(asked, pairs)
+        if more.limit(1).count():
+            both = materialize(star.unionByName(more), "confirmed")
+            release(star, first, more)
+            star, first = both, connected_components(both)
+    labelled = rest
+    whole = labelled.groupBy("key").agg(F.count("*").alias("left"), F.sum("n").alias("weight"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("two"))
+    open_ = materialize(whole.groupBy("left", "weight", "one", "two").agg(F.min("key").alias("key")).select("key", "left", "weight"), "open")
     # A block has `block` classes of MEMBERS members each, or fewer that are larger.
     parts = F.ceil(F.greatest(F.col("left") / F.lit(float(block)), F.col("weight") / F.lit(float(block * MEMBERS)))).cast("int")
     spread = (
@@ -228,12 +251,12 @@ def near_duplicates(
         .select("key", "cid", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     )
     work = spread.join(sets.hint("merge"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = materialize(work.mapInArrow(_blocks(percent), "a long, b long"), "rest")
-    final = connected_components(star.unionByName(rest)) if rest.limit(1).count() else first
+    last = materialize(work.mapInArrow(_blocks(percent), "a long, b long"), "rest")
+    final = connected_components(star.unionByName(last)) if last.limit(1).count() else first
     grouped = classes.join(final.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = materialize(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     named = materialize(grouped.select("c1", "c2", "component").join(smallest.hint("merge"), "component").select("c1", "c2", F.lit(True).alias("_in"), "component_id"), "named")
-    release(buckets, members, wanted, labelled, open_)
+    release(classes, sets, star, last, labelled, open_, first, final, smallest)
     out = found.join(named.hint("merge"), ["c1", "c2"], "left")
     component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("_id"))
     return out.select("_uid", F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))

@@ -145,8 +145,8 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     assert near_duplicates(no_docs).collect() == []
 
 
-@pytest.mark.parametrize(("words", "percent", "block"), [(3, 85, 1024), (5, 80, 2)])
-def test_near_duplicates_of_edited_copies(spark, words, percent, block):
+@pytest.mark.parametrize(("words", "percent", "block", "rounds"), [(3, 85, 1024, 2), (5, 80, 2, 0), (3, 85, 3, 1)])
+def test_near_duplicates_of_edited_copies(spark, words, percent, block, rounds):
     """A hot group of copies with 0 to 12 edits: many links near the threshold."""
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
@@ -157,7 +157,7 @@ def test_near_duplicates_of_edited_copies(spark, words, percent, block):
             w[at] = f"e{rng.integers(0, 40)}"
         rows.append((d, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, words=words, percent=percent, block=block).collect())
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, words=words, percent=percent, block=block, rounds=rounds).collect())
     assert got == brute_components(rows, words, percent)
 
 
