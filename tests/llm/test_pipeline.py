@@ -59,6 +59,32 @@ def test_bpe_stage_and_run(spark, sf, stages):
     assert got == {r.doc_id: r.ids_sha256 for r in stages["bpe"]}
 
 
+def test_stages_of_odd_rows(spark, sf, odd_docs, no_docs):
+    """Nulls, empty and very long texts, rows that repeat, extra columns with clashing names, empty tables, no n_chars."""
+    more = spark.createDataFrame([(20 + k, t, "en", "s", None, "keep me", None, 7) for k, t in enumerate(["A.", "De.", "...", "word " * 100_000])], odd_docs.schema)
+    docs = odd_docs.unionByName(more).selectExpr("*", "1 as score", "2 as `a.b`", "3 as n_removed", "4 as lang_pred", "5 as ids", "6 as component_id")
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, docs, sf)
+        empty = f(spark, no_docs, sf)
+        assert empty.collect() == []
+        if name == "bpe":
+            assert out.count() == docs.count() and {"a.b", "doc_id", "n_tokens", "ids"} <= set(out.columns)
+        else:
+            assert out.columns == docs.columns and {r.spans for r in out.collect()} <= {"keep me"} and {r["a.b"] for r in out.collect()} <= {2} and {r.n_removed for r in out.collect()} <= {3}
+            assert f(spark, docs.drop("n_chars"), sf).count() == out.count()
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    assert {4, 5, 6, 22} <= kept and 2 not in kept
+    left = {r.doc_id: r.text for r in corpus_pipeline.exact_dedup(spark, docs, sf).collect()}
+    assert left[4] is None and left[5] == "" and 1 not in left and 23 not in left
+
+
+def test_short_texts_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    short = spark.createDataFrame([(-1, "A."), (-2, "Re."), (-3, "x"), (-4, "..."), (-5, None)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(short, allowMissingColumns=True), sf).collect()}
+    assert {-1, -2, -3} <= kept and not {-4, -5} & kept
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_tables(spark, sf, name):
     rows = queries.QUERIES[name](spark, sf).count()
