@@ -6,9 +6,8 @@
 * In each band bucket every class is compared with the bucket's smallest class (a star, linear in
   the bucket).  Classes that are still in different components of a bucket are then compared with
   each other in blocks of ``block`` by ``block`` classes (fewer if their sets are large), so nothing a band
-  proposes stays untested, no bucket is capped and no bucket has to fit in one task.  Before that a bucket
-  gets up to ``rounds`` more stars, each from the smallest class not yet asked of its largest component, and
-  of buckets that are left with the same classes one is compared.
+  proposes stays untested, no bucket is capped and no bucket has to fit in one task.  Of buckets that
+  have the same classes one is compared.
 * A comparison looks at the sizes and at a parity sketch of 1,024 bits first (both exclude links
   with certainty), then at the sets.
 
@@ -187,7 +186,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 85, rows: int = 4, miss: float = 1e-9, block: int = 1024, rounds: int = 2
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 85, rows: int = 4, miss: float = 1e-9, block: int = 1024
 ) -> DataFrame:
     """(_uid, id, n_shingles, component_id, kept) for every row of docs.
 
@@ -218,28 +217,11 @@ def near_duplicates(
     star = _confirmed(pairs, sets, percent)
     release(buckets, wanted, pairs)
     first = connected_components(star)
-    rest = materialize(members.where("size > 2").select("key", "cid", "n"), "labelled")  # the pivot has been compared with all
+    labelled = materialize(  # the pivot has been compared with all
+        members.where("size > 2").join(first.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("component")), "labelled"
+    )
     release(members)
-    for turn in range(rounds + 1):
-        labelled = materialize(rest.join(first.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("component")), "labelled")
-        release(rest)
-        several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        rest = materialize(labelled.join(several.hint("merge"), "key"), "open")
-        release(labelled)
-        if turn == rounds or not rest.limit(1).count():
-            break
-        largest = rest.groupBy("key", "component").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).groupBy("key").agg(F.max_by(F.struct("pivot", "component"), F.struct("size", "component")).alias("top"))
-        asked = materialize(rest.join(largest.hint("merge"), "key"), "asked")
-        pairs = materialize(asked.where("component != top.component").select(F.col("top.pivot").alias("a"), F.col("cid").alias("b")).distinct(), "star")
-        more = _confirmed(pairs, sets, percent)
-        rest = materialize(asked.where("cid != top.pivot").select("key", "cid", "n"), "labelled")
-        release(asked, pairs)
-        if more.limit(1).count():
-            both = materialize(star.unionByName(more), "confirmed")
-            release(star, first, more)
-            star, first = both, connected_components(both)
-    labelled = rest
-    whole = labelled.groupBy("key").agg(F.count("*").alias("left"), F.sum("n").alias("weight"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("two"))
+    whole = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("left"), F.sum("n").alias("weight"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("two")).where("low != high")
     open_ = materialize(whole.groupBy("left", "weight", "one", "two").agg(F.min("key").alias("key")).select("key", "left", "weight"), "open")
     # A block has `block` classes of MEMBERS members each, or fewer that are larger.
     parts = F.ceil(F.greatest(F.col("left") / F.lit(float(block)), F.col("weight") / F.lit(float(block * MEMBERS)))).cast("int")
