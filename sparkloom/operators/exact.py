@@ -502,16 +502,25 @@ LINE_RULES = {"diff": enc_diff, "snapshot": enc_snapshot, "hits": enc_hits, "pat
 DEFAULT = ("ascii", "files", "rows", "defs", "diff", "snapshot", "hits", "paths", "numbered", "table", "prefix")
 
 
-def _unblock(lines: list[str]) -> list[str]:
-    """All blocks decoded, inner ones first."""
+#: Characters that decoding may make of one text; more is a forged block.
+LIMIT = 64 << 20
+
+
+def _unblock(lines: list[str], limit: int = LIMIT) -> list[str]:
+    """All blocks decoded, inner ones first; ValueError once they hold more than `limit` characters."""
     stack: list[tuple[str, str, list[str]]] = [("", "", [])]
+    made = 0
     for x in lines:
         m = _OPEN.match(x)
         if m and m[1] in BLOCKS:
             stack.append((m[1], m[2] or "", []))
         elif x == END and len(stack) > 1:
             name, args, body = stack.pop()
-            stack[-1][2].extend(BLOCKS[name](args, body))
+            lines_ = BLOCKS[name](args, body)
+            made += sum(map(len, lines_)) + len(lines_)
+            if made > limit:
+                raise ValueError(f"blocks of over {limit} characters")
+            stack[-1][2].extend(lines_)
         else:
             stack[-1][2].append(x)
     return stack[0][2]

@@ -10,11 +10,10 @@ WORD = r"[A-Za-z0-9_./:-]{2,}"
 
 
 def postings(texts: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    """(key, term, tf, length): counted within each row's own array, so nothing is shuffled."""
+    """(key, term, tf, length): the inverted index, counted by a map-side aggregation over (key, term)."""
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), 0)
     rows = texts.select(*key, words.alias("w")).select(*key, "w", F.size("w").cast("long").alias("length"))
-    terms = rows.select(*key, "length", "w", F.explode(F.array_distinct("w")).alias("term"))
-    return terms.select(*key, "term", F.size(F.filter("w", lambda x: x == F.col("term"))).cast("long").alias("tf"), "length")
+    return rows.select(*key, "length", F.explode("w").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, doc_text: str = "text", query_text: str = "text") -> DataFrame:
@@ -71,16 +70,30 @@ def allocate(docs: DataFrame, group: str, length: str, score: str, budget: float
     return out.withColumn("rate", rate).drop("_w", "_a", "_left", "_open", "_part", "_all", "_want", "_add")
 
 
-def containment(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str) -> DataFrame:
-    """(doc_id, item_id) where the document holds the item's whole text.
+def containment(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, block: int = 200) -> DataFrame:
+    """(doc_id, item_id) where the document holds the item's whole text, anywhere in it.
 
-    Items are matched by a key of their first five words, so this is an equi-join with a check, not a
-    cross join.
+    Between an item's first and last white space its words are whole words of any document that holds
+    it, so its first three inner words are the key of an equi-join; only ids go through that join, and
+    texts meet for the hits alone.  Items of fewer inner words have no such key: they are searched
+    in every document, `block` at a time.  An empty item is in every document; null items and texts match nothing.
     """
-    words = lambda c: F.split(F.trim(c), r"\s+")
-    item = items.select(item_id, F.col("text").alias("_item")).withColumn("_n", F.least(F.size(words(F.col("_item"))), F.lit(3)))
-    item = item.withColumn("_k", F.array_join(F.slice(words(F.col("_item")), 1, 3), " ")).where("_n = 3")
-    doc = docs.select(doc_id, "text").withColumn("_w", words(F.col("text")))
-    grams = doc.select(doc_id, "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, 3), " ")))).alias("_k"))
-    hits = grams.join(item, "_k").where(F.expr("contains(text, _item)"))
-    return hits.select(doc_id, item_id).distinct()
+    words = lambda c: F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    text = items.select(item_id, F.col("text").alias("_item")).where("_item is not null")
+    parts = F.split("_item", r"[ \t\n\x0B\f\r]+")
+    keyed = text.withColumn("_w", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))))
+    long = keyed.where(F.size("_w") >= 3).select(item_id, "_item", F.array_join(F.slice("_w", 1, 3), " ").alias("_k"))
+    short = keyed.where(F.size("_w") < 3).select(item_id, "_item")
+
+    rows = docs.select(F.col(doc_id).alias("_doc"), "text").where("text is not null")
+    w = rows.select("_doc", words(F.col("text")).alias("_w")).where(F.size("_w") >= 3)
+    grams = w.select("_doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.array_join(F.slice("_w", i, 3), " ")))).alias("_k"))
+    pairs = grams.join(long.select(item_id, "_k"), "_k").select("_doc", item_id).distinct()
+    hits = pairs.join(rows, "_doc").join(long.drop("_k"), item_id).where(F.expr("contains(text, _item)")).select(F.col("_doc").alias(doc_id), item_id)
+
+    blocks = -(-short.count() // block)
+    for k in range(blocks):
+        some = short.where(F.pmod(F.xxhash64(item_id, "_item"), F.lit(blocks)) == k).agg(F.collect_list(F.struct(item_id, "_item")).alias("_block"))
+        every = rows.join(F.broadcast(some)).select("_doc", F.explode(F.filter("_block", lambda x: F.call_function("contains", F.col("text"), x["_item"]))).alias("_hit"))  # one row of about `block` items
+        hits = hits.unionByName(every.select(F.col("_doc").alias(doc_id), F.col(f"_hit.{item_id}").alias(item_id)))
+    return hits.distinct()

@@ -254,11 +254,7 @@ def bm25_top_documents(spark, sf_dir):
 SELECT doc_id, term, count(*)::BIGINT AS tf, any_value(length)::BIGINT AS length FROM t GROUP BY 1, 2""",
 )
 def document_postings(spark, sf_dir):
-    """The inverted index: counted by a map-side aggregation over (document, term)."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(retrieval.WORD), 0)
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    terms = rows.select("doc_id", F.size("w").cast("long").alias("length"), F.explode("w").alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return retrieval.postings(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 @query(
