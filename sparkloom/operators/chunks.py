@@ -40,7 +40,7 @@ def evict(store: DataFrame, seen: str, size: str, cap: int, key: str) -> DataFra
     """
     day = store.groupBy(F.floor(F.col(seen) / 86400).alias("_d")).agg(F.sum(size).alias("s"))
     above = day.select("_d", F.coalesce(F.sum("s").over(Window.orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
-    rows = store.withColumn("_d", F.floor(F.col(seen) / 86400)).join(F.broadcast(above), "_d")
+    rows = store.withColumn("_d", F.floor(F.col(seen) / 86400)).join(above, "_d")
     own = F.sum(size).over(Window.partitionBy("_d").orderBy(F.desc(seen), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_sum", F.col("_above") + own).where(F.col("_sum") <= cap).drop("_d", "_above", "_sum")
 

@@ -55,19 +55,34 @@ def allocate(docs: DataFrame, group: str, length: str, score: str, budget: float
     """docs with rate: a shared budget (share of the group's characters) dealt by score in rounds.
 
     Weights run from 0.35 to 1.5 between the group's lowest and highest score; what a full document
-    leaves over goes to the others in the next round; rates lie between 0.05 and 1.
+    leaves over goes to the others in the next round; rates lie between 0.05 and 1.  Only sums by group
+    are shuffled: a row's share follows from its own length and score and the group's parts of each round.
     """
-    w = Window.partitionBy(group)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    out = docs.withColumn("_w", 0.35 + 1.15 * (F.col(score) - low) / F.greatest(F.lit(1e-6), high - low)).withColumn("_a", F.lit(0.0)).withColumn("_left", budget * F.sum(length).over(w)).withColumn("_open", F.col(length) > 0)
+    from sparkloom.sources import scratch
+
+    def shares(rows):
+        """(allotted, open) of a row after the rounds dealt so far, whose parts of a weight are in _deals."""
+        weight = (0.35 + 1.15 * (F.col(score) - F.col("_low")) / F.greatest(F.lit(1e-6), F.col("_high") - F.col("_low"))) * F.col(length)
+
+        def deal(state, part):
+            want = part * weight
+            full = state["a"] + want >= F.col(length)
+            return F.struct(F.when(~state["o"], state["a"]).when(full, F.col(length)).otherwise(state["a"] + want).alias("a"), (state["o"] & ~full).alias("o"))
+
+        state = F.aggregate("_deals", F.struct(F.lit(0.0).alias("a"), (F.col(length) > 0).alias("o")), deal)
+        return rows.withColumn("_s", state).withColumn("_w", weight)
+
+    def joined(deals):  # one row a group: the planner broadcasts it if its size allows
+        return shares(docs.join(deals.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g"))
+
+    ends = docs.groupBy(group).agg(F.min(score).alias("_low"), F.max(score).alias("_high"), (budget * F.sum(length)).alias("_budget"))
+    deals = scratch.table(ends.withColumn("_deals", F.array().cast("array<double>")))
     for _ in range(rounds):
-        out = out.withColumn("_part", F.when(F.col("_open"), F.col("_w") * F.col(length)).otherwise(0.0)).withColumn("_all", F.sum("_part").over(w))
-        want = F.when(F.col("_all") > 0, F.greatest(F.col("_left"), F.lit(0.0)) * F.col("_part") / F.col("_all")).otherwise(0.0)
-        full = F.col("_a") + F.col("_want") >= F.col(length)
-        out = out.withColumn("_want", want).withColumn("_add", F.when(F.col("_open"), F.when(full, F.col(length) - F.col("_a")).otherwise(F.col("_want"))).otherwise(0.0))
-        out = out.withColumn("_open", F.col("_open") & ~full).withColumn("_a", F.col("_a") + F.col("_add")).withColumn("_left", F.col("_left") - F.sum("_add").over(w))
-    rate = F.when(F.col(length) > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.col("_a") / F.col(length)))).otherwise(0.0)
-    return out.withColumn("rate", rate).drop("_w", "_a", "_left", "_open", "_part", "_all", "_want", "_add")
+        sums = joined(deals).groupBy(group, "_low", "_high", "_budget", "_deals").agg(F.sum("_s.a").alias("_used"), F.sum(F.when(F.col("_s.o"), F.col("_w")).otherwise(0.0)).alias("_all"))
+        part = F.when(F.col("_all") > 0, F.greatest(F.col("_budget") - F.col("_used"), F.lit(0.0)) / F.col("_all")).otherwise(0.0)
+        deals = scratch.table(sums.select(group, "_low", "_high", "_budget", F.concat("_deals", F.array(part)).alias("_deals")))
+    rate = F.when(F.col(length) > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.col("_s.a") / F.col(length)))).otherwise(0.0)
+    return joined(deals).withColumn("rate", rate).select(*docs.columns, "rate")
 
 
 def containment(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, block: int = 200) -> DataFrame:
