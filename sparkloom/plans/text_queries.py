@@ -46,7 +46,14 @@ def dup_runs_collapsed(spark, sf_dir):
     return done.select("doc_id", "r.runs", F.sha2("r.text", 256).alias("text_sha256"), (F.length("text") - F.length("r.text")).cast("long").alias("saved"))
 
 
-@query("dup_runs_round_trip")
+@query(
+    "dup_runs_round_trip",
+    f"""WITH {LINES},
+marks AS (SELECT *, CASE WHEN lag(line) OVER w = line THEN 0 ELSE 1 END AS head FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+islands AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marks),
+runs AS (SELECT doc_id, run, any_value(line) AS line, count(*) AS n FROM islands GROUP BY 1, 2)
+SELECT DISTINCT doc_id, true AS exact FROM runs WHERE n >= 3 AND length(trim(line)) >= 8 AND (length(line) + 1) * (n - 1) >= 6 + length(n::VARCHAR) + 16""",
+)
 def dup_runs_round_trip(spark, sf_dir):
     """Documents that collapse_dups changed, and whether the inverse gives them back."""
     done = table(spark, sf_dir, "documents").select("doc_id", "text", lines.collapse_dups(F.col("text")).alias("r")).where("r.runs > 0")
@@ -62,7 +69,12 @@ def line_repeat_index(spark, sf_dir):
     return lines.repeat_index(numbered_lines(table(spark, sf_dir, "documents")), ["doc_id"]).select("doc_id", "pos", "occ")
 
 
-@query("line_heuristic_scores")
+@query(
+    "line_heuristic_scores",
+    f"""WITH {LINES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(trim(line), '\\d+', '0', 'g') ORDER BY pos) - 1 AS occ FROM lines)
+SELECT doc_id, pos::INTEGER AS pos, (CASE WHEN trim(line) = '' THEN -5 ELSE len(regexp_extract_all(line, '{lines.IDENT}')) + CASE WHEN regexp_matches(line, '{lines.STRONG}') THEN 3 ELSE 0 END
+    - CASE WHEN regexp_matches(line, '{lines.COMMENT}') THEN 2 ELSE 0 END - 3 * least(occ, 3) + CASE WHEN pos < 3 OR pos >= n_lines - 3 THEN 1 ELSE 0 END END)::DOUBLE AS score FROM o""",
+)
 def line_heuristic_scores(spark, sf_dir):
     return lines.heuristic_scores(numbered_lines(table(spark, sf_dir, "documents")), ["doc_id"]).select("doc_id", "pos", "score")
 

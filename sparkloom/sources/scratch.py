@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def table(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read again, so its lineage is one scan."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A path in the checkpoint folder that the driver deletes when it ends; results may read it until then."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tables/{name}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)  # results may read it until the driver ends
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def table(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read again, so its lineage is one scan."""
+    spark = df.sparkSession
+    path = folder(spark, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

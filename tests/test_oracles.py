@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from sparkloom.plans import event_queries, exact_queries, process_queries, registry, text_queries  # noqa: F401
+from sparkloom.plans import event_queries, exact_queries, operator_queries, process_queries, registry, text_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
