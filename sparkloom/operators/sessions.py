@@ -12,7 +12,8 @@ from collections import defaultdict, deque
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 # Least lines and non-blank characters of a reference, candidates, age, shortest text.
 MIN_RUN, MIN_CHARS, MAX_CANDIDATES, MAX_AGE, MIN_LEN = 2, 40, 256, 100, 48
@@ -152,16 +153,14 @@ class Guard:
         return self.calls <= self.until
 
 
-def guard_sessions(calls: DataFrame, session: str, seq: str, key: str) -> DataFrame:
-    """(session, seq, held) of every call."""
-    types = dict(calls.dtypes)
-
-    def go(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq, kind="stable")
-        guard = Guard()
-        return pd.DataFrame({session: rows[session], seq: rows[seq], "held": [guard.observe(k) for k in rows[key]]})
-
-    return calls.select(session, seq, key).groupBy(session).applyInPandas(go, f"{session} {types[session]}, {seq} {types[seq]}, held boolean")
+def guard_sessions(calls: DataFrame, session: str, seq: str, key: str, window: int = 3, hold: int = 10) -> DataFrame:
+    """(session, seq, held) of every call: Guard over whole sessions, as windows."""
+    number = F.row_number().over(Window.partitionBy(session).orderBy(seq))
+    rows = calls.select(session, seq, key).withColumn("_n", number)
+    again = F.col("_n") - F.lag("_n").over(Window.partitionBy(session, key).orderBy("_n")) <= window
+    rows = rows.withColumn("_trip", F.coalesce(again, F.lit(False)))
+    held = F.max("_trip").over(Window.partitionBy(session).orderBy("_n").rowsBetween(-hold, 0))
+    return rows.select(session, seq, held.alias("held"))
 
 
 def overlap_trim(docs: DataFrame, group: str, order: str, text: str = "text", least: int = 60, look: int = 600) -> DataFrame:

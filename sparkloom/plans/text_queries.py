@@ -99,11 +99,6 @@ def greedy_line_budget(spark, sf_dir):
     return lines.render_kept(lines.greedy_select(scored, ["doc_id"], 0.5, "chars"), ["doc_id"])
 
 
-@query("error_line_context")
-def error_line_context(spark, sf_dir):
-    return lines.error_lines(numbered_lines(table(spark, sf_dir, "documents")), ["doc_id"]).where("keep").select("doc_id", "pos")
-
-
 @query(
     "line_smooth_scores",
     f"""WITH {LINES}, s AS (SELECT doc_id, pos, length(line)::DOUBLE AS score FROM lines)
