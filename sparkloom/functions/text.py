@@ -255,6 +255,67 @@ def atoms(c) -> Column:
     )
 
 
+def _width(ws: Column) -> Column:
+    """0 for blanks, 1 for a line break, 2 for a paragraph."""
+    return F.when(ws.rlike(r"\n[^\S\n]*\n"), 2).when(ws.contains("\n"), 1).otherwise(0)
+
+
+def detok(atoms_: Column, keep: Column) -> Column:
+    """The text of the kept atoms.  An atom that follows a kept one has its own blanks; one that follows dropped
+    ones has the widest break of theirs and its own (a paragraph, a line break or a blank); the first has none."""
+
+    def step(state: Column, pair: Column) -> Column:
+        own = _width(pair["a"]["ws"])
+        gap = F.element_at(F.array(F.lit(" "), F.lit("\n"), F.lit("\n\n")), F.greatest(state["gap"], own) + 1)
+        lead = F.when(state["empty"], F.lit("")).when(state["gap"] < 0, pair["a"]["ws"]).otherwise(gap)
+        kept = F.struct(F.concat(state["out"], lead, pair["a"]["text"]).alias("out"), F.lit(-1).alias("gap"), F.lit(False).alias("empty"))
+        return F.when(pair["k"], kept).otherwise(F.struct(state["out"].alias("out"), F.greatest(state["gap"], own).alias("gap"), state["empty"].alias("empty")))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(-1).alias("gap"), F.lit(True).alias("empty"))
+    return F.aggregate(F.zip_with(atoms_, keep, lambda a, k: F.struct(a.alias("a"), k.alias("k"))), start, step, lambda x: x["out"])
+
+
+def norm(atom) -> Column:
+    """An atom for comparison: lower case, with the one letter that folds to two."""
+    return F.replace(F.lower(_col(atom)), F.lit("ß"), F.lit("ss"))
+
+
+#: Identifiers by their shape, in the common subset of Java's and RE2's expressions: a sign before, joined parts, versions, dates, hashes, letters with digits, inner capitals.
+STRICT_ID = (
+    r"^[-/~.$@#]+[A-Za-z0-9]|[A-Za-z0-9][_/@=][A-Za-z0-9]|[A-Za-z0-9]:[A-Za-z0-9/]|[A-Za-z0-9]{2}\.[A-Za-z0-9]{2}|^v?[0-9]+\.[0-9]+\.[0-9]+|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"|^[0-9a-f]{8}-[0-9a-f]{4}-|^[a-f]*[0-9]+[a-f]+[0-9a-f]{5,}$|^[A-Za-z]+[0-9]+[A-Za-z0-9]*$|^[0-9]+[A-Za-z]{3,}[0-9]+|^[A-Za-z]{0,9}[a-z]{2}[A-Z][A-Za-z]*$"
+)
+#: What cannot be prose: addresses, paths of several parts, flags, versions, dates, hashes, names with an inner underscore.
+ARTIFACT_ID = r"^(?:[a-z]+://|www\.)|^[^@ ]+@[^@ ]+\.[a-z]{2,}$|/[^/ ]+/[^/ ]|^--?[a-z][a-z0-9-]+|^v?[0-9]+\.[0-9]+\.[0-9]+|^[0-9]{4}-[0-9]{2}-[0-9]{2}|^[0-9a-f]{8}-[0-9a-f]{4}-|^[a-f]*[0-9]+[a-f]+[0-9a-f]{5,}$|[A-Za-z0-9]_[A-Za-z0-9]"
+
+
+def is_strict_id(atom) -> Column:
+    """A technical identifier by its shape."""
+    return _col(atom).rlike(STRICT_ID)
+
+
+def is_prose_artifact_id(atom) -> Column:
+    """A technical name that stands out of natural prose; four letters at least."""
+    return (F.length(_col(atom)) >= 4) & _col(atom).rlike(ARTIFACT_ID)
+
+
+_PARTS = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9]"
+
+
+def atom_tokens(text, ws=None) -> Column:
+    """Subword tokens of an atom, as a fraction: words by 6 letters and a fifth of a token for each more, digits by 3, a sign
+    0.75 (0.85 alone); texts of other scripts by characters (3.2 or, Latin with accents only, 4.2 a token); 0.7 for a line break before."""
+    text = _col(text)
+    word = lambda n: F.when(n <= 6, 1.0).otherwise(1.0 + (n - 6) / 5.0)
+    part = lambda p: F.when(p.rlike("^[A-Za-z]"), word(F.length(p))).when(p.rlike("^[0-9]"), F.ceil(F.length(p) / 3.0).cast("double")).otherwise(0.75)
+    parts = F.aggregate(F.regexp_extract_all(text, F.lit(_PARTS), 0), F.lit(0.0), lambda s, p: s + part(p))
+    one = F.when(text.rlike(r"^[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{AC00}-\x{D7AF}]"), 0.9).when(text.rlike(r"^[\p{L}\p{N}]"), 1.0).otherwise(0.85)
+    many = F.when(text.rlike(r"^[\x00-\x7F]*$"), F.greatest(F.lit(1.0), parts)).when(text.rlike(r"[^\x00-\x{036F}]"), F.greatest(F.lit(1.0), F.length(text) / 3.2)).otherwise(F.greatest(F.lit(1.0), F.length(text) / 4.2))
+    cost = F.when(F.length(text) == 0, 0.0).when(F.length(text) == 1, one).otherwise(many)
+    extra = F.lit(0.0) if ws is None else F.when((F.length(text) > 0) & _col(ws).contains("\n"), 0.7).otherwise(0.0)
+    return cost + extra
+
+
 def is_protected(atom) -> Column:
     """An atom that may be needed letter for letter later: a number, path, flag, constant or mixed-case name."""
     a = _col(atom)

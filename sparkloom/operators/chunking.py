@@ -45,6 +45,19 @@ def chunk_table(docs: DataFrame, key: list[str], text: str = "text", most: int =
     return docs.select(*key, F.posexplode(go(F.col(text))).alias("n", "chunk"))
 
 
+def token_windows(costs: Column, most: int = 512) -> Column:
+    """array<int>: the window of each atom of an array of token costs; a window ends before the atom that would
+    take it over `most`, and an atom of more has its own."""
+
+    def step(state: Column, n: Column) -> Column:
+        new = (state["used"] > 0) & (state["used"] + n > most)
+        at = state["at"] + new.cast("int")
+        return F.struct(F.when(new, n).otherwise(state["used"] + n).alias("used"), at.alias("at"), F.concat(state["out"], F.array(at)).alias("out"))
+
+    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(F.transform(costs, lambda x: x.cast("double")), start, step, lambda s: s["out"])
+
+
 def align(source: list[str], kept: list[str]) -> list[bool] | None:
     """Which source lines the kept lines are, in order; None if they are no subsequence."""
     keep, at = [False] * len(source), 0

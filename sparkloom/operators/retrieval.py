@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,19 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, doc_te
     return scored.join(asked, "term").groupBy(query_id, doc_id).agg(F.sum("part").alias("score"))
 
 
+def rank_symbols(symbols: DataFrame, query: str) -> DataFrame:
+    """symbols (name, signature, doc) with score: (1 + ln tf) x idf of the query's terms over all three, and 2 more
+    where the name holds a term; symbols without one have 0."""
+    asked = sorted({w.lower() for w in re.findall(r"[A-Za-z0-9_]+", query)})
+    terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), 0)
+    rows = symbols.withColumn("_t", terms(F.concat_ws(" ", "name", "signature", "doc")))
+    count = lambda w: F.size(F.filter("_t", lambda x: x == w))
+    df = rows.agg(F.count("*").alias("_n"), *(F.count_if(count(w) > 0).alias(f"_df{k}") for k, w in enumerate(asked)))
+    part = lambda k, w: F.when(count(w) > 0, (1 + F.ln(count(w))) * F.ln(1 + (F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))).otherwise(0.0)
+    score = sum((part(k, w) for k, w in enumerate(asked)), F.lit(0.0)) + F.when(F.arrays_overlap(terms(F.col("name")), F.array(*map(F.lit, asked)).cast("array<string>")), 2.0).otherwise(0.0)
+    return rows.join(F.broadcast(df)).withColumn("score", score).select(*symbols.columns, "score")  # df: one row
+
+
 def top_k(scores: DataFrame, group: str, k: int, order: list) -> DataFrame:
     """The k best rows of each group; ranks are pruned before the shuffle."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)

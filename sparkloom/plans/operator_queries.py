@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import audit, chunking, chunks, exact, lines, usage, views
+from sparkloom.operators import audit, chunking, chunks, exact, lines, retrieval, transcripts, usage, views
 from sparkloom.plans.registry import query
 from sparkloom.plans.text_queries import LINES, numbered_lines, table
 from sparkloom.sources import readers, scratch, sinks
@@ -180,6 +180,64 @@ def document_chunks(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.sha2(joined, 256).alias("joined_sha256"), (F.max(T.est_tokens("chunk")) <= chunking.MOST + chunking.LEAST + 64).alias("fit"))
 
 
+@query("normed_words", "SELECT DISTINCT replace(lower(w), 'ß', 'ss') AS word FROM (SELECT unnest(regexp_extract_all(text, '\\S+')) AS w FROM documents)")
+def normed_words(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), 0)).alias("w"))
+    return words.select(T.norm("w").alias("word")).distinct()
+
+
+@query(
+    "identifier_atoms",
+    f"""WITH a AS (SELECT lang, unnest(regexp_extract_all(text, '\\S+')) AS a FROM documents)
+SELECT lang, count(*)::BIGINT AS atoms, count(*) FILTER (WHERE regexp_matches(a, {_sql(T.STRICT_ID)}))::BIGINT AS strict, count(*) FILTER (WHERE length(a) >= 4 AND regexp_matches(a, {_sql(T.ARTIFACT_ID)}))::BIGINT AS artifacts FROM a GROUP BY 1""",
+)
+def identifier_atoms(spark, sf_dir):
+    """Identifiers by shape among the atoms of each language."""
+    found = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
+    count = lambda p: F.coalesce(F.sum(F.size(F.filter(found, p))), F.lit(0)).cast("long")
+    rows = table(spark, sf_dir, "documents").where(F.size(found) > 0)
+    return rows.groupBy("lang").agg(count(lambda a: F.lit(True)).alias("atoms"), count(T.is_strict_id).alias("strict"), count(T.is_prose_artifact_id).alias("artifacts"))
+
+
+@query(
+    "atom_token_costs",
+    r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\s*)(\S+)', 1)) AS ws, unnest(regexp_extract_all(text, '(\s*)(\S+)', 2)) AS t FROM documents),
+c AS (SELECT doc_id, CASE WHEN contains(ws, chr(10)) THEN 0.7 ELSE 0 END + CASE WHEN length(t) = 1 THEN CASE WHEN regexp_matches(t, '^[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{AC00}-\x{D7AF}]') THEN 0.9 WHEN regexp_matches(t, '^[\p{L}\p{N}]') THEN 1.0 ELSE 0.85 END
+    WHEN regexp_matches(t, '^[\x00-\x7F]*$') THEN greatest(1.0, coalesce(list_sum(list_transform(regexp_extract_all(t, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]'), lambda p: CASE WHEN regexp_matches(p, '^[A-Za-z]') THEN CASE WHEN length(p) <= 6 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + (length(p) - 6) / 5.0::DOUBLE END WHEN regexp_matches(p, '^[0-9]') THEN ceil(length(p) / 3.0::DOUBLE) ELSE 0.75::DOUBLE END)), 0))
+    WHEN regexp_matches(t, '[^\x00-\x{036F}]') THEN greatest(1.0, length(t) / 3.2::DOUBLE) ELSE greatest(1.0, length(t) / 4.2::DOUBLE) END AS cost FROM a)
+SELECT doc_id, round(sum(cost)::DOUBLE, 4) AS tokens FROM c GROUP BY 1""",
+)
+def atom_token_costs(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.atoms("text").alias("a")).where(F.size("a") > 0)
+    return rows.select("doc_id", F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + T.atom_tokens(x["text"], x["ws"])), 4).alias("tokens"))
+
+
+@query(
+    "detokenized_documents",
+    r"""WITH a AS (SELECT doc_id, unnest(range(len(regexp_extract_all(text, '\S+')))) AS i, unnest(regexp_extract_all(text, '(\s*)(\S+)', 1)) AS ws, unnest(regexp_extract_all(text, '(\s*)(\S+)', 2)) AS t FROM documents),
+k AS (SELECT *, i % 5 < 3 AS keep, CASE WHEN regexp_matches(ws, '\n[^\S\n]*\n') THEN 2 WHEN contains(ws, chr(10)) THEN 1 ELSE 0 END AS w FROM a),
+g AS (SELECT *, CASE i % 5 WHEN 0 THEN greatest(w, lag(w, 1) OVER d, lag(w, 2) OVER d) END AS gap FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, sha256(string_agg(CASE WHEN i = 0 THEN '' WHEN i % 5 = 0 THEN [' ', chr(10), chr(10) || chr(10)][gap + 1] ELSE ws END || t, '' ORDER BY i)) AS text_sha256 FROM g WHERE keep GROUP BY 1""",
+)
+def detokenized_documents(spark, sf_dir):
+    """Three of every five atoms, joined again."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.atoms("text").alias("a")).where(F.size("a") > 0)
+    keep = F.transform("a", lambda x, i: i % 5 < 3)
+    return rows.select("doc_id", F.sha2(T.detok(F.col("a"), keep), 256).alias("text_sha256"))
+
+
+@query(
+    "atom_windows",
+    r"WITH a AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM documents) SELECT doc_id, n::BIGINT AS atoms, ceil(n / (100 // (1 + doc_id % 7))::DOUBLE)::BIGINT AS windows, least(n, 100 // (1 + doc_id % 7))::BIGINT AS first FROM a WHERE n > 0",
+)
+def atom_windows(spark, sf_dir):
+    """Windows of 100 tokens over atoms of 1 to 7 tokens each."""
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
+    costs = F.transform(words, lambda _: F.col("doc_id") % 7 + 1)
+    rows = table(spark, sf_dir, "documents").where(F.size(words) > 0).select("doc_id", chunking.token_windows(costs, 100).alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("atoms"), (F.array_max("w") + 1).cast("long").alias("windows"), F.size(F.filter("w", lambda x: x == 0)).cast("long").alias("first"))
+
+
 # --- lines -----------------------------------------------------------------------------------------------------------
 
 _HEADINGS = "CASE event_id % 7 WHEN 0 THEN concat('# A', event_id) WHEN 1 THEN concat('## B', event_id) WHEN 2 THEN concat('### C', event_id) ELSE concat('text #', event_id) END"
@@ -401,3 +459,82 @@ def shared_numbers(spark, sf_dir):
     """Reports hold numbers and no texts."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.first("event_type").alias("text"))
     return sinks.share_blob(rows.select("user_id", "n", "text", (F.col("user_id") % 2 == 0).alias("even")))
+
+
+# --- transcripts and tool events ---------------------------------------------------------------------------------------
+
+
+@query(
+    "transcript_entries",
+    """SELECT conv_id, turn, conv_id || ':' || turn AS uuid, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS parent, (turn % 3 + 1)::INTEGER AS blocks, event % 2 = 1 AS cleared
+FROM (SELECT *, turn % 4 AS event FROM conversations)""",
+)
+def transcript_entries(spark, sf_dir):
+    """Conversations as transcript lines; every other entry says in one of two ways that results were cleared."""
+    line = F.expr(
+        """concat('{"uuid":"', conv_id, ':', turn, '",', if(turn > 0, concat('"parentUuid":"', conv_id, ':', turn - 1, '",'), ''), '"type":"', if(turn % 4 = 3, 'system', 'assistant'), '",', if(turn % 4 = 3, '"subtype":"microcompact_boundary",', ''),
+        '"message":{"content":[', array_join(transform(sequence(0, cast(turn % 3 as int)), i -> concat('{"text":"', i, '"}')), ','), ']', if(turn % 4 = 1, ',"context_management":{"applied_edits":[{"type":"clear_tool_uses_x","cleared_tool_uses":2}]}', ''), '}}')"""
+    )
+    rows = transcripts.entries(table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("value")))
+    return rows.select("conv_id", "turn", "entry.uuid", F.col("entry.parentUuid").alias("parent"), "blocks", transcripts.cleared(F.col("entry")).alias("cleared"))
+
+
+@query(
+    "context_epochs",
+    """WITH r AS (SELECT conv_id, turn, conv_id || ':' || turn AS uuid, CASE WHEN turn % 5 = 4 THEN conv_id || ':' || (turn - 3) WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS parent, turn // 2 AS t, CASE WHEN turn % 3 = 0 THEN (turn % 4) * 5000 END AS prompt, turn % 7 = 6 AS cleared FROM conversations),
+p AS (SELECT *, lag(uuid) OVER w AS before, lag(t) OVER w AS turn_before, last_value(prompt IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+m AS (SELECT p.*, coalesce(p.parent <> p.before AND q.t IS DISTINCT FROM p.turn_before, false) AS rewound, coalesce(p.last - p.prompt > greatest(2000, p.last * 0.05), false) AS shrunk FROM p LEFT JOIN r q ON q.conv_id = p.conv_id AND q.uuid = p.parent)
+SELECT conv_id, turn, rewound, shrunk, sum((rewound OR shrunk OR cleared)::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS epoch FROM m""",
+)
+def context_epochs(spark, sf_dir):
+    """Conversations that go back now and then, lose part of their prompt, and are cleared."""
+    rows = table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id", "turn", "concat(conv_id, ':', turn) as uuid", "case when turn % 5 = 4 then concat(conv_id, ':', turn - 3) when turn > 0 then concat(conv_id, ':', turn - 1) end as parent",
+        "case when turn % 3 = 0 then (turn % 4) * 5000 end as prompt", "turn % 7 = 6 as cleared",
+    )
+    named = rows.withColumn("seq", F.col("turn")).withColumn("turn", F.expr("turn div 2"))
+    return transcripts.resets(named, "conv_id", "seq").select("conv_id", F.col("seq").alias("turn"), "rewound", "shrunk", "epoch")
+
+
+@query(
+    "event_targets",
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'bash' WHEN 1 THEN 'grep' WHEN 2 THEN 'mcp' WHEN 3 THEN 'bash_persisted' END AS kind, CASE WHEN event_id % 7 IN (0, 1, 2) THEN 'out ' || event_id WHEN event_id % 7 = 3 THEN 'head' END AS text,
+    CASE event_id % 7 WHEN 0 THEN 'ls ' || user_id WHEN 1 THEN 'grep x src' WHEN 2 THEN 'mcp__s__t' WHEN 3 THEN 'cat f' END AS command FROM events""",
+)
+def event_targets(spark, sf_dir):
+    """Tool events of seven kinds, of which four may be shortened."""
+    event = F.expr(
+        """CASE event_id % 7 WHEN 0 THEN concat('{"tool_name":"Bash","tool_input":{"command":"ls ', user_id, '"},"tool_response":{"stdout":"out ', event_id, '"}}')
+        WHEN 1 THEN concat('{"tool_name":"Grep","tool_input":{"pattern":"x","path":"src"},"tool_response":{"mode":"content","content":"out ', event_id, '"}}')
+        WHEN 2 THEN concat('{"tool_name":"mcp__s__t","tool_response":[{"type":"text","text":"out ', event_id, '"}]}')
+        WHEN 3 THEN '{"tool_name":"Bash","tool_input":{"command":"cat f"},"tool_response":{"stdout":"head","persistedOutputPath":"/x"}}'
+        WHEN 4 THEN '{"tool_name":"Bash","tool_input":{"command":"cat f"},"tool_response":{"stdout":"x","isImage":true}}'
+        WHEN 5 THEN '{"tool_name":"Grep","tool_response":{"mode":"count","content":"7"}}' ELSE '{"tool_name":"Bash","tool_response":{"stdout":""}}' END"""
+    )
+    return table(spark, sf_dir, "events").select("event_id", transcripts.event_target(event).alias("t")).select("event_id", "t.kind", "t.text", "t.command")
+
+
+@query(
+    "ranked_symbols",
+    """WITH s AS (SELECT event_id, event_type || '_' || event_id % 50 AS name, 'def ' || event_type || '(' || repeat('user ', event_id % 4) || ')' AS signature, CASE WHEN event_id % 3 = 0 THEN 'Purchase of a user' ELSE '' END AS doc FROM events),
+t AS (SELECT event_id, name, regexp_extract_all(lower(name || ' ' || signature || ' ' || doc), '[a-z0-9_]+') AS w, regexp_extract_all(lower(name), '[a-z0-9_]+') AS nw FROM s),
+c AS (SELECT *, len(list_filter(w, lambda x: x = 'user')) AS a, len(list_filter(w, lambda x: x = 'purchase')) AS b, len(list_filter(w, lambda x: x = 'click_7')) AS c FROM t),
+d AS (SELECT count(*) AS n, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db, count(*) FILTER (WHERE c > 0) AS dc FROM c)
+SELECT event_id, round(CASE WHEN a > 0 THEN (1 + ln(a)) * ln(1 + (n - da + 0.5) / (da + 0.5)) ELSE 0 END + CASE WHEN b > 0 THEN (1 + ln(b)) * ln(1 + (n - db + 0.5) / (db + 0.5)) ELSE 0 END
+    + CASE WHEN c > 0 THEN (1 + ln(c)) * ln(1 + (n - dc + 0.5) / (dc + 0.5)) ELSE 0 END + CASE WHEN list_has_any(nw, ['user', 'purchase', 'click_7']) THEN 2 ELSE 0 END, 4) AS score FROM c, d""",
+)
+def ranked_symbols(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "concat(event_type, '_', event_id % 50) as name", "concat('def ', event_type, '(', repeat('user ', cast(event_id % 4 as int)), ')') as signature", "if(event_id % 3 = 0, 'Purchase of a user', '') as doc"
+    )
+    return retrieval.rank_symbols(rows, "user purchase click_7").select("event_id", F.round("score", 4).alias("score"))
+
+
+@query("listed_transcripts", "SELECT DISTINCT 'user_id=' || user_id AS folder FROM events WHERE user_id % 10 > 0")
+def listed_transcripts(spark, sf_dir):
+    """Transcript files in a folder for each user, without the excluded ones."""
+    path = scratch.folder(spark, f"listed-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("value"))
+    rows.repartition("user_id").write.partitionBy("user_id").text(path)
+    found = transcripts.stream_files(spark, path, exclude=("%user\\_id=%0/%",), glob="*.txt")
+    return found.select(F.regexp_extract("path", "(user_id=[0-9]+)/", 1).alias("folder")).distinct()
