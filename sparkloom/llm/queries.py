@@ -27,7 +27,10 @@ def _query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer files than there are cores, and few splits, are dealt over all cores first."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    few = name in ("documents", "pages") and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < 2 * cores
+    return df.repartition(cores) if few else df
 
 
 @_query
