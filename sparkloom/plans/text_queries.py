@@ -11,7 +11,11 @@ from sparkloom.plans.registry import query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that lie in fewer splits than there are cores (a row group cannot be split) are dealt
+    over all of them first.  Larger tables have more splits and are read as they are."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    few = name in ("documents", "pages", "conversations") and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < 2 * cores
+    return df.repartition(cores) if few else df
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
