@@ -95,6 +95,16 @@ def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB SQL of the queries that SQL expresses exactly.
 ORACLES |= {
+    "op1_suffix_array_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(n - 199, 0))) AS s FROM d),
+k AS MATERIALIZED (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 400)) AS k FROM w),
+r AS (SELECT doc_id, s FROM k JOIN (SELECT k FROM k GROUP BY k HAVING count(*) > 1) USING (k)),
+i AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM r),
+j AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM i),
+p AS (SELECT doc_id, run, min(s) AS a, max(s) + 200 AS b FROM j GROUP BY 1, 2),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+g AS (SELECT q.doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY 1)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
     "op3_minmax_near_dedup": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
