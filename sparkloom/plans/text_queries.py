@@ -204,8 +204,8 @@ def redacted_documents(spark, sf_dir):
     return done.select("doc_id", F.regexp_count("text", F.lit(r"\[REDACTED:")).cast("long").alias("labels"), F.sha2("text", 256).alias("text_sha256"))
 
 
-#: Runs of four and more of one sign, which RE2 can only list.
-_RUNS = "|".join(f"\\x{ord(c):02x}{{4,}}" for c in " \t!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Runs of four and more of one sign or Latin letter with an accent, which RE2 can only list.
+_RUNS = "|".join(f"\\x{{{c:x}}}{{4,}}" for c in (9, *range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127), *range(161, 384)))
 
 
 @query(
