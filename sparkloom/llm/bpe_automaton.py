@@ -33,7 +33,7 @@ from sparkloom.llm.batches import with_text_columns
 END = "</w>"
 #: Bytes of words and their encodings that one Python worker keeps, in each of two generations; longer
 #: words than CACHE_WORD letters are not kept.  Entries of the letter table and of the arc table.
-CACHE_BYTES, CACHE_WORD, TABLE, ARCS = 48 << 20, 256, 1_000_000, 1_000_000
+CACHE_BYTES, CACHE_WORD, TABLE, ARCS = 80 << 20, 256, 1_000_000, 1_000_000
 #: What a kept word takes besides its letters and encodings.
 _ENTRY = 300
 
@@ -45,6 +45,7 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+_ONE = [bytes([b]) for b in range(256)]
 _BYTES = {c: b for b, c in enumerate(byte_letters())}
 #: Fixed values, for equal results: letters and numbers of later Unicode versions than the vocabulary's
 #: library has, which it takes for symbols; and capitals that it lowers beyond Python's tables.
@@ -84,17 +85,20 @@ class MergeAutomaton:
                 raise ValueError(f"a part of {u + v!r} is made after it")
             self.born[ab], self.left[ab], self.right[ab], self.cut[a * size + b] = m, a, b, m
         self.arcs: dict[int, bool] = {}
-        # Letters are bytes from here on; a token that ends a word has the end mark's number after them.
-        self.tokens = {tuple(map(_BYTES.__getitem__, t[: -len(END)] if t.endswith(END) else t)) + (256,) * t.endswith(END): i for t, i in ids.items() if all(c in _BYTES for c in t.removesuffix(END))}
-        self.sizes = [0] * size
-        for letters, i in self.tokens.items():
-            self.sizes[i] = len(letters) - (letters[-1:] == (256,))
-        self.begins = {t[:k] for t in self.tokens for k in range(len(t))}
+        # Letters are bytes from here on: tokens inside a word, and those that end one.
+        self.inner, self.ending, self.sizes = {}, {}, [0] * size
+        for token, i in ids.items():
+            letters = token.removesuffix(END)
+            if all(c in _BYTES for c in letters):
+                raw = bytes(map(_BYTES.__getitem__, letters))
+                (self.ending if token.endswith(END) else self.inner)[raw] = i
+                self.sizes[i] = len(raw)
+        self.begins = {t[:k] for t in self.inner for k in range(len(t))} | {t[:k] for t in self.ending for k in range(len(t) + 1)}
         self._restart()
 
     def _restart(self):
         """The letter table with its first state only: nothing read, and before it the start of the word."""
-        self.states, self.numbers, self.last = [((), (START,))], {((), (START,)): 0}, [START]
+        self.states, self.numbers, self.last = [(b"", (START,))], {(b"", (START,)): 0}, [START]
         self.table: dict[int, int] = {}
         self.final: dict[int, int] = {}
 
@@ -126,9 +130,9 @@ class MergeAutomaton:
     def _token(self, state: int, letter: int, end: bool) -> int:
         """The token that ends with the letter after the state; NONE if the vocabulary has none."""
         read, chain = self.states[state]
-        read += (letter, 256) if end else (letter,)
+        read, tokens = read + _ONE[letter], self.ending if end else self.inner
         for k in range(len(chain) - 1, -1, -1):
-            token = self.tokens.get(read[k:])
+            token = tokens.get(read[k:])
             if token is not None and (chain[k] == START or chain[k] != NONE and self.allows(chain[k], token)):
                 return token
         return NONE
@@ -137,10 +141,10 @@ class MergeAutomaton:
         """The state after the letter, from now on in the table."""
         token = self._token(state, letter, False)
         read, chain = self.states[state]
-        read, chain = read + (letter,), chain + (token,)
-        while read not in self.begins:
-            read, chain = read[1:], chain[1:]
-        new = (read, chain)
+        read, cut = read + _ONE[letter], 0
+        while read[cut:] not in self.begins:
+            cut += 1
+        new = (read[cut:], (*chain, token)[cut:])
         number = self.numbers.get(new)
         if number is None:
             number = self.numbers[new] = len(self.states)
@@ -192,33 +196,26 @@ class WordCoder:
         self.older = regex.compile(pattern.replace(r"\p{L}+", rf"(?:(?!{later})\p{{L}})+").replace(r"|\p{N}|", rf"|(?!{later})\p{{N}}|").replace(r"[^\p{White_Space}\p{L}\p{N}]+", rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|{later})+"))
         coder = self
 
-        class Ids(dict):
-            def __missing__(self, word):
-                return coder._learn(word)[0]
-
-        class Labels(dict):
+        class Words(dict):
             def __missing__(self, word):
-                return coder._learn(word)[1]
+                return coder._learn(word)
 
-        self.id_text, self.label_text = Ids(), Labels()
-        self.old_ids, self.old_labels, self.kept = {}, {}, 0
+        self.known, self.old, self.kept = Words(), {}, 0
 
     def _learn(self, word: str) -> tuple[str, str]:
-        a = self.old_ids.get(word)
-        if a is None:
+        """(ids, labels) of a word, each joined by spaces; kept in the younger generation."""
+        found = self.old.get(word)
+        if found is None:
             ids = self.automaton.encode(word.encode())
-            a, b = " ".join(map(str, ids)), self.decode(ids)
-        else:
-            b = self.old_labels[word]
+            found = " ".join(map(str, ids)), self.decode(ids)
         if len(word) > CACHE_WORD:
-            return a, b
-        self.kept += _ENTRY + 4 * len(word) + len(a) + 4 * len(b)
+            return found
+        self.kept += _ENTRY + 4 * len(word) + len(found[0]) + 4 * len(found[1])
         if self.kept > CACHE_BYTES:
-            self.old_ids, self.old_labels, self.kept = dict(self.id_text), dict(self.label_text), 0
-            self.id_text.clear()
-            self.label_text.clear()
-        self.id_text[word], self.label_text[word] = a, b
-        return a, b
+            self.old, self.kept = dict(self.known), 0
+            self.known.clear()
+        self.known[word] = found
+        return found
 
     def decode(self, ids) -> str:
         """The labels of the arcs, one space between two; the vocabulary has no other decoder."""
@@ -253,8 +250,9 @@ class WordCoder:
                 ids.append(str(self.special[special]))
                 labels.append(special)
             elif words:
-                ids.append(" ".join(map(self.id_text.__getitem__, words)))
-                labels.append(" ".join(map(self.label_text.__getitem__, words)))
+                a, b = zip(*map(self.known.__getitem__, words), strict=True)
+                ids.append(" ".join(a))
+                labels.append(" ".join(b))
         return " ".join(ids), " ".join(labels)
 
     def encode(self, text: str) -> list[int]:

@@ -101,7 +101,7 @@ def test_caches_are_bounded_and_change_nothing(monkeypatch):
     monkeypatch.setattr(bpe_automaton, "ARCS", 50)
     coder = WordCoder(spec)
     assert [coder.texts(w) for w in words] == want
-    assert len(coder.id_text) + len(coder.old_ids) < 200 and max(map(len, coder.id_text)) <= bpe_automaton.CACHE_WORD and len(coder.automaton.arcs) <= 50
+    assert len(coder.known) + len(coder.old) < 200 and max(map(len, coder.known)) <= bpe_automaton.CACHE_WORD and len(coder.automaton.arcs) <= 50
 
 
 def test_quality_by_brute_force(spark, odd_docs, no_docs):
